@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,18 +36,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class WordHash(dict):
-    """64-bit fingerprints of words, remembered up to a fixed number of distinct words."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def words_of(text: str | None) -> list[bytes]:
     """ASCII-lowered words of the contract: runs of anything but space and \\x09-\\x0D, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -60,14 +50,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(words: list[bytes], k: int, cache: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit fingerprints of the k-word shingles; a shorter text is one shingle, no words are none."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-    span = min(k, n)
-    out = np.full(n - span + 1, span, np.uint64)
-    for j in range(span):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : n - span + 1 + j])
-    return np.unique(out)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = mix(np.arange(256, dtype=np.uint64) * _GOLDEN + np.uint64(1))
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_SPACE] = 0
+_PLACE = mix(np.arange(1 << 12, dtype=np.uint64) + _GOLDEN) | np.uint64(1)
+
+
+def _slices(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `size` bytes each; one row at least."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        yield first, last
+        first = last
+
+
+def word_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word fingerprints, word offsets by row) for runs of rows; words as in words_of, nulls have none.
+
+    A word's fingerprint is the sum over its bytes of one random number for the byte times one for the place.
+    """
+    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    for first, last in _slices(offsets, size):
+        ends = offsets[first : last + 1] - offsets[first]
+        raw = data[offsets[first] : offsets[last]]
+        word = ~_SPACE[raw]
+        opens = word.copy()
+        opens[1:] &= ~word[:-1]
+        at = ends[:-1][ends[:-1] < len(raw)]
+        opens[at] = word[at]
+        starts = np.flatnonzero(opens)
+        if len(starts):
+            place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+            if int(place.max()) < len(_PLACE):
+                weight = _PLACE[place]
+            else:
+                weight = mix(place.astype(np.uint64) + _GOLDEN) | np.uint64(1)
+            hashes = mix(np.add.reduceat(_BYTE[raw[starts[0] :]] * weight, starts - starts[0]))
+        else:
+            hashes = np.empty(0, np.uint64)
+        yield first, hashes, np.searchsorted(starts, ends)
+
+
+def shingle_slices(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, fingerprints, offsets by row): each row's distinct k-word shingles, sorted.
+
+    A text of fewer words is one shingle, one without words has none.
+    """
+    for first, h, at in word_slices(texts):
+        n = np.diff(at)
+        kept = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        to = np.concatenate([[0], np.cumsum(kept)])
+        rolled = np.full(max(0, len(h) - k + 1), k, np.uint64)
+        for j in range(k):
+            rolled = mix(rolled * _GOLDEN + h[j : len(h) - k + 1 + j])
+        out = np.empty(to[-1], np.uint64)
+        for i in np.flatnonzero(n):
+            part = out[to[i] : to[i + 1]]
+            if n[i] >= k:
+                part[:] = rolled[at[i] : at[i] + kept[i]]
+                part.sort()
+            else:
+                whole = np.full(1, n[i], np.uint64)
+                for x in h[at[i] : at[i + 1]]:
+                    whole = mix(whole * _GOLDEN + x)
+                part[:] = whole
+        fresh = np.ones(len(out), bool)
+        fresh[1:] = out[1:] != out[:-1]
+        fresh[to[:-1][kept > 0]] = True
+        sizes = np.add.reduceat(np.append(fresh, False).astype(np.int64), to[:-1]) * (kept > 0)
+        yield first, out[fresh], np.concatenate([[0], np.cumsum(sizes)])

@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import WordHash, materialise, mix, shingle_hashes, words_of
+from touchline.llm.common import materialise, mix, shingle_slices, words_of
 from touchline.llm.components import connected_components
 
 #: Sets above this size are never enumerated: a set of 40 already has over 90,000 subsets of the size needed at 0.9.
@@ -43,6 +43,7 @@ class Sizes:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.ends = [0]
+        self.ranges: dict[int, int] = {}
 
     def partner(self, n: int) -> int:
         """Largest size that a set of n elements can link with."""
@@ -64,6 +65,18 @@ class Sizes:
             self.ends.append(self.partner(self.ends[-1] + 1))
         return 2 * self.ends[j] * (self.den - self.num) // (self.den + self.num)
 
+    def blocks(self, j: int) -> int:
+        """Number of ranges for lists of intervals j - 1 and j: enough for the smallest set there to fill more of them,
+        but for three standard deviations, than can differ; at most twice as many as can differ."""
+        if j not in self.ranges:
+            most = self.differences(j)
+            n = self.ends[max(j - 2, 0)] + 1
+            k = most + 1
+            while k < 2 * most and k * (1 - exp(-n / k)) - 3 * sqrt(k * exp(-n / k)) < most + 1:
+                k += 1 + k // 50
+            self.ranges[j] = k
+        return self.ranges[j]
+
     def subset_pairs(self, n: int, below: int) -> list[tuple[int, int]]:
         """(lesser, greater) sizes, both under `below`, that involve a set of n elements."""
         low = -(-n * self.num // self.den)
@@ -74,7 +87,7 @@ class Sizes:
 
     def n_blocks(self, n: int) -> int:
         j = self.interval(n)
-        return self.differences(j) + self.differences(j + 1) + 2
+        return self.blocks(j) + self.blocks(j + 1)
 
     def boundary(self, histogram: dict[int, int]) -> int:
         """The size from which inverted lists take over, by the number of postings. histogram: sets of each size up to SMALL_CAP + 1."""
@@ -89,51 +102,56 @@ class Sizes:
         return best[1]
 
 
-def _keys(elements: np.ndarray, sizes: Sizes, boundary: int) -> np.ndarray:
-    """Keys of all postings of a set of sorted fingerprints."""
-    n, out = len(elements), []
-    spread = mix(elements)
-    if n < boundary:
-        total = int(spread.sum(dtype=np.uint64))
-        for a, b in sizes.subset_pairs(n, boundary):
-            left = np.array([sum(int(spread[i]) for i in gone) & (2**64 - 1) for gone in combinations(range(n), n - sizes.overlap(a, b))], np.uint64)
-            out.append(mix((np.uint64(total) - left) ^ np.uint64(a * 1_000_003 + b)))
-    if sizes.partner(n) >= boundary:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)])
-        for j in (sizes.interval(n), sizes.interval(n) + 1):
-            most = sizes.differences(j)
-            k = most + 1
-            block = ((elements >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-            edges = np.searchsorted(block, np.arange(k + 1, dtype=np.uint64))
-            filled = edges[1:] > edges[:-1]
-            # With more filled blocks than possible differences one filled block stays as it is. Other sets post
-            # their empty blocks too: a pair can only be left to those if both sets are of that kind.
-            which = np.flatnonzero(filled) if filled.sum() > most else np.arange(k)
-            salt = which.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
-            out.append(mix((sums[edges[1:]] - sums[edges[:-1]])[which] ^ mix(salt)))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
-
-
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def _subset_keys(elements: np.ndarray, sizes: Sizes, boundary: int) -> np.ndarray:
+    """Keys of the subsets of a small set, one for each subset of each size that a link needs."""
+    n, spread = len(elements), [int(x) for x in mix(elements)]
+    total, out = sum(spread), []
+    for a, b in sizes.subset_pairs(n, boundary):
+        kept = [(total - sum(gone)) % 2**64 for gone in combinations(spread, n - sizes.overlap(a, b))]
+        out.append(mix(np.array(kept, np.uint64) ^ np.uint64(a * 1_000_003 + b)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _block_keys(elements: np.ndarray, at: np.ndarray, step: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, set numbers) of all blocks of each set's own size interval (step 0) or the next one (step 1)."""
+    n = np.diff(at)
+    known = {int(x): sizes.interval(int(x)) + step for x in np.unique(n)}
+    interval = np.array([known[int(x)] for x in n], np.int64)
+    k = np.array([sizes.blocks(int(j)) for j in interval], np.uint64)
+    most = np.array([sizes.differences(int(j)) for j in interval])
+    owner = np.repeat(np.arange(len(n)), n)
+    block = ((elements >> np.uint64(32)) * k[owner]) >> np.uint64(32)
+    opens = np.ones(len(elements), bool)
+    opens[1:] = (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])
+    starts = np.flatnonzero(opens)
+    sums = np.add.reduceat(mix(elements), starts)
+    whose, which = owner[starts], block[starts]
+    # With more filled blocks than possible differences one filled block stays as it is. Other sets post their
+    # empty blocks too: a pair can only be left to those if both sets are of that kind.
+    few = np.flatnonzero(np.bincount(whose, minlength=len(n)) <= most)
+    empty = [np.setdiff1d(np.arange(k[i], dtype=np.uint64), which[whose == i]) for i in few]
+    sums = np.concatenate([sums, np.zeros(sum(map(len, empty)), np.uint64)])
+    which = np.concatenate([which, *empty])
+    whose = np.concatenate([whose, np.repeat(few, [len(x) for x in empty])]).astype(np.int64)
+    salt = mix(which * np.uint64(0x9E3779B97F4A7C15) + interval[whose].astype(np.uint64))
+    return mix(sums ^ salt), whose
+
+
+def _set_digests(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two signed 64-bit words of digest for each set."""
+    raw = [xxhash.xxh3_128_digest(elements[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
 
 
 def set_signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, s1, s2): the set's size and a 128-bit digest of the set; null digest for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                e = shingle_hashes(words_of(text), k, cache)
-                if len(e):
-                    d = xxhash.xxh3_128_intdigest(e.tobytes())
-                    rows.append((len(e), _signed(d & (2**64 - 1)), _signed(d >> 64)))
-                else:
-                    rows.append((0, None, None))
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["id", "n_shingles", "s1", "s2"])
+            for first, e, at in shingle_slices(batch.column(1), k):
+                n, digest = np.diff(at), _set_digests(e, at)
+                cols = [batch.column(0).slice(first, len(n)), pa.array(n), *(pa.array(digest[:, i], mask=n == 0) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "s1", "s2"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, s1 long, s2 long")
 
@@ -142,25 +160,30 @@ def postings(docs: DataFrame, k: int, num: int, den: int, boundary: int, text_co
     """(key, s1) of every list that a document's set is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sizes = WordHash(), Sizes(num, den)
+        sizes = Sizes(num, den)
         for batch in batches:
-            keys, owners, held = [], [], 0
-            for text in batch.column(0).to_pylist():
-                e = shingle_hashes(words_of(text), k, cache)
-                if not len(e):
+            for _, e, at in shingle_slices(batch.column(0), k):
+                n = np.diff(at)
+                full = n > 0
+                at, digest, n = np.append(at[:-1][full], at[-1:]), _set_digests(e, at)[full, 0], n[full]
+                if not len(n):
                     continue
-                own = _keys(e, sizes, boundary)
-                keys.append(own)
-                owners.append(np.full(len(own), xxhash.xxh3_128_intdigest(e.tobytes()) & (2**64 - 1), np.uint64))
-                held += len(own)
-                if held > 100_000:
-                    yield _batch(keys, owners)
-                    keys, owners, held = [], [], 0
-            if held:
-                yield _batch(keys, owners)
-
-    def _batch(keys: list, owners: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, owners)], ["key", "s1"])
+                keys, whose = [], []
+                for i in np.flatnonzero(n < boundary):
+                    keys.append(_subset_keys(e[at[i] : at[i + 1]], sizes, boundary))
+                    whose.append(np.full(len(keys[-1]), i))
+                large = np.array([sizes.partner(int(x)) >= boundary for x in n])
+                if large.any():
+                    of = np.flatnonzero(large)
+                    ends = np.concatenate([[0], np.cumsum(n[of])])
+                    chosen = e[np.repeat(large, n)]
+                    for step in (0, 1):
+                        found, owner = _block_keys(chosen, ends, step, sizes)
+                        keys.append(found)
+                        whose.append(of[owner])
+                if keys:
+                    cols = np.concatenate(keys).view(np.int64), digest[np.concatenate(whose)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "s1"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, s1 long")
 
