@@ -12,9 +12,9 @@ A document's set holds its distinct k-word shingles as 64-bit fingerprints. Docu
 
 Lists are not expanded into pairs. Postings are sorted by (key, node) over all partitions, a list may span several, and
 each member is proposed with the first and the previous member of its list only. Proposals are verified on the words
-themselves. A list whose proposals left it in more than one component is then completed: every pair of its members from
-different components is verified. So no link between components is lost, and a large group of near copies costs as many
-verifications as it has members.
+themselves. The members of lists whose proposals left them in more than one component are then matched once more by their
+rarest shingles, counted over these members, and pairs from different components are verified. So no link between
+components is lost, and a large group of near copies costs about as many verifications as it has members.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import materialise, mix, shingle_slices, words_of
@@ -286,24 +287,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     links = materialise(_verified(pairs, texts, k, num, den), "links")
     found = connected_components(links)
 
-    # Lists that their proposals left in several components: every pair of members across components is verified.
+    # Lists that their proposals left in several components: pairs of members across components that can link are verified.
     home = reps.join(found, reps["rep"] == found["node"], "left").select("s1", "rep", "n", F.coalesce("component", "rep").alias("component"))
     home = materialise(home, "homes")
     ha, hb = (home.toDF(c, f"rep_{c}", f"n_{c}", f"comp_{c}") for c in "ab")
     torn = proposed.join(ha, "a").join(hb, "b").where(F.expr("comp_a <> comp_b")).select("key").distinct()
     members = proposed.join(torn, "key", "left_semi")
-    members = members.select("key", F.col("a").alias("s1")).unionByName(members.select("key", F.col("b").alias("s1"))).distinct().join(home, "s1")
-    members = materialise(members, "members")
-    groups = members.select("key", "component").distinct()
-    rivals = groups.toDF("key", "comp_a").join(groups.toDF("key", "comp_b"), "key").where("comp_a < comp_b")
-    ma, mb = (members.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n")), F.col("component").alias(f"comp_{c}")) for c in "ab")
-    rest = (
-        rivals.join(ma, ["key", "comp_a"])
-        .join(mb, ["key", "comp_b"])
-        .where(near)
-        .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-        .distinct()
-    )
+    members = members.select(F.col("a").alias("s1")).unionByName(members.select(F.col("b").alias("s1"))).distinct().join(home, "s1")
+    suspects = members.select(F.col("rep").alias("id"), "n", "component").distinct()
+    rest = _rare_first_pairs(texts.join(suspects, "id"), k, num, den)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, texts, k, num, den)
@@ -318,6 +310,46 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     )
 
 
+def _rare_first_pairs(suspects: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of all suspects of different components that can link, by the rarest shingles among the suspects.
+
+    Linked sets share one of each set's n - ceil(t n) + 1 rarest shingles, and no shingle that only one suspect has, so a
+    near copy with many edits of its own proposes nothing. A pair's first common shingle leaves enough after it in both, its
+reach, for the link. In each list the members of the component with most members
+    are paired with the others, never among themselves. suspects: id, text, n, component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, e, at in shingle_slices(batch.column(3), k):
+                row = pa.array(np.repeat(np.arange(first, first + len(at) - 1), np.diff(at)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(e.view(np.int64))], ["id", "n", "component", "shingle"])
+
+    elements = suspects.select("id", "n", "component", "text").mapInArrow(run, "id long, n long, component long, shingle long")
+    elements = materialise(elements, "elements")
+    common = elements.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("id")
+    ranked = elements.join(common, "shingle").select(
+        "*", F.count("*").over(own).alias("shared"), F.row_number().over(own.orderBy("df", "shingle")).alias("place")
+    )
+    kept = ranked.where(f"n - shared + place <= n - (n * {num} + {den - 1}) div {den} + 1")
+    kept = materialise(kept.select("shingle", "id", "n", "component", (F.col("shared") - F.col("place") + 1).alias("reach")), "rare")
+    most = (
+        kept.groupBy("shingle", "component")
+        .agg(F.count("*").alias("c"))
+        .groupBy("shingle")
+        .agg(F.max(F.struct("c", "component")).getField("component").alias("major"), F.count("*").alias("components"))
+        .where("components > 1")
+    )
+    lists = kept.join(most.drop("components"), "shingle")
+    a, b = (lists.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("id", "n", "component", "reach")), (F.col("component") == F.col("major")).alias(f"major_{c}")) for c in "ab")
+    possible = f"""component_a <> component_b and (major_b or id_a < id_b)
+        and least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}
+        and least(reach_a, reach_b) * {num + den} >= {num} * (n_a + n_b)"""
+    pairs = a.where("not major_a").join(b, "shingle").where(possible)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Documents without those that another document of their group, with a smaller id, represents."""
     found = jaccard_components(docs, k, num, den)

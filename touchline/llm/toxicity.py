@@ -25,8 +25,8 @@ class Settings:
     bits: int = 20
     #: Most labelled rows that training reads, by the least hash of their id; a documented bound, not a scale limit.
     max_rows: int = 24_000
-    shards: int = 4
-    rounds: int = 2
+    shards: int = 1
+    rounds: int = 4
     alpha: float = 0.15
     beta: float = 1.0
     l1: float = 3.0
