@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import ann, chat, exact_dedup, jaccard_join, mixing, packing, toxicity, warc
+from touchline.llm import ann, chat, exact_dedup, html_extract, jaccard_join, mixing, packing, toxicity, warc
 from touchline.llm.common import table
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
