@@ -293,8 +293,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     ha, hb = (home.toDF(c, f"rep_{c}", f"n_{c}", f"comp_{c}") for c in "ab")
     torn = proposed.join(ha, "a").join(hb, "b").where(F.expr("comp_a <> comp_b")).select("key").distinct()
     members = proposed.join(torn, "key", "left_semi")
-    members = members.select(F.col("a").alias("s1")).unionByName(members.select(F.col("b").alias("s1"))).distinct().join(home, "s1")
-    suspects = members.select(F.col("rep").alias("id"), "n", "component").distinct()
+    members = members.select("key", F.col("a").alias("s1")).unionByName(members.select("key", F.col("b").alias("s1"))).distinct()
+    # The proposals of a list of three are all its pairs, unless it lies in several partitions.
+    long = members.groupBy("key").count().where("count > 3").select("key").unionByName(ties.select("key")).distinct()
+    suspects = members.join(long, "key", "left_semi").select("s1").distinct().join(home, "s1").select(F.col("rep").alias("id"), "n", "component").distinct()
     rest = _rare_first_pairs(texts.join(suspects, "id"), k, num, den)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")
@@ -321,18 +323,19 @@ reach, for the link. In each list the members of the component with most members
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, e, at in shingle_slices(batch.column(3), k):
+            for first, e, at in shingle_slices(batch.column(1), k):
                 row = pa.array(np.repeat(np.arange(first, first + len(at) - 1), np.diff(at)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(e.view(np.int64))], ["id", "n", "component", "shingle"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(e.view(np.int64))], ["id", "shingle"])
 
-    elements = suspects.select("id", "n", "component", "text").mapInArrow(run, "id long, n long, component long, shingle long")
+    suspects = materialise(suspects, "suspects")
+    elements = suspects.select("id", "text").mapInArrow(run, "id long, shingle long")
     elements = materialise(elements, "elements")
     common = elements.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("id")
     ranked = elements.join(common, "shingle").select(
-        "*", F.count("*").over(own).alias("shared"), F.row_number().over(own.orderBy("df", "shingle")).alias("place")
+        "id", "shingle", F.count("*").over(own).alias("shared"), F.row_number().over(own.orderBy("df", "shingle")).alias("place")
     )
-    kept = ranked.where(f"n - shared + place <= n - (n * {num} + {den - 1}) div {den} + 1")
+    kept = ranked.join(suspects.select("id", "n", "component"), "id").where(f"n - shared + place <= n - (n * {num} + {den - 1}) div {den} + 1")
     kept = materialise(kept.select("shingle", "id", "n", "component", (F.col("shared") - F.col("place") + 1).alias("reach")), "rare")
     most = (
         kept.groupBy("shingle", "component")
