@@ -137,11 +137,12 @@ def rising_edges(df: DataFrame, by: list[str], order: list[str], inside: Column)
 def owner_carry(df: DataFrame, by: list[str], order: list[str], state: str, owner: str, time: str, held: str, clearing: tuple[str, ...]) -> DataFrame:
     """The holder before each row and since when it holds: kept through other states, cleared by the `clearing` ones.
 
-    Window form of the fold: eras are numbered by clearing rows; in an era a holding starts where a held row's owner
+    Window form of the fold: eras end with a clearing row; in an era a holding starts where a held row's owner
     differs from the one held before; a row sees the last earlier held row of its era.
     """
     w = _w(by, order)
-    out = df.withColumn("era", F.sum(F.col(state).isin(*clearing).cast("long")).over(w))
+    cleared = F.sum(F.col(state).isin(*clearing).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = df.withColumn("era", F.coalesce(cleared, F.lit(0)))
     era = _w([*by, "era"], order)
     earlier = era.rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(F.col(state) == held, F.col(owner))

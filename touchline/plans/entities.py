@@ -138,7 +138,7 @@ def zone_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.rising_edges(states(spark, sf_dir), BY, ORDER, F.col("v") > 60)
 
 
-OWNER = f""", o AS (SELECT *, CAST(floor(v / 20) AS BIGINT) AS own, sum(CASE WHEN state IN ('signup', 'purchase') THEN 1 ELSE 0 END) {W} AS era FROM ev),
+OWNER = f""", o AS (SELECT *, CAST(floor(v / 20) AS BIGINT) AS own, coalesce(sum(CASE WHEN state IN ('signup', 'purchase') THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS era FROM ev),
  p AS (SELECT *, last_value(CASE WHEN state = 'click' THEN own END IGNORE NULLS) OVER e AS po FROM o WINDOW e AS (PARTITION BY u, era ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  h AS (SELECT *, CASE WHEN state = 'click' AND own IS DISTINCT FROM po THEN t END AS st FROM p),
  z AS (SELECT *, last_value(st IGNORE NULLS) OVER e AS hs FROM h WINDOW e AS (PARTITION BY u, era ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
