@@ -221,7 +221,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns; of rows that repeat both id and text one stays."""
-    index = materialise(build_index(docs), "digests")
-    keyed = docs.withColumn("__digest", content_key())
-    kept = keyed.join(index, F.expr("__digest = digest and doc_id <=> keep_id"), "left_semi")
+    index = materialise(build_index(docs), "digests").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
+    keyed = docs.withColumn("__digest", content_key()).alias("d")
+    same = F.expr("d.__digest = i.__digest and d.doc_id <=> i.__keep")
+    kept = keyed.join(index.alias("i"), same, "left_semi")
     return kept.repartition("__digest").dropDuplicates(["__digest"]).select(*docs.columns)
