@@ -144,17 +144,31 @@ def _set_digests(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
 
 
+def _parities(elements: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bit vector for each set, of n/2 to n bits but 256 at least: the parity of how many elements fall on each bit.
+
+    Every bit in which two sets' vectors differ takes at least one element that only one of them has.
+    """
+    n = np.diff(at)
+    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(n / 2, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(n)), n)
+    where = base[owner] + (elements & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(where, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1], base[1:], strict=True)]
+
+
 def set_signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, s1, s2): the set's size and a 128-bit digest of the set; null digest for an empty set."""
+    """(id, n_shingles, s1, s2, parity): the set's size, a 128-bit digest and a parity vector; null digest for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, e, at in shingle_slices(batch.column(1), k):
                 n, digest = np.diff(at), _set_digests(e, at)
                 cols = [batch.column(0).slice(first, len(n)), pa.array(n), *(pa.array(digest[:, i], mask=n == 0) for i in (0, 1))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(_parities(e, at), pa.binary())], ["id", "n_shingles", "s1", "s2", "parity"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, s1 long, s2 long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, parity binary")
 
 
 def postings(docs: DataFrame, k: int, num: int, den: int, boundary: int, text_col: str = "text") -> DataFrame:
@@ -223,6 +237,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([head]), pa.array([None], pa.int64())], names)
 
 
+def _may_link(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) without those whose parity vectors differ in more bits than linked sets have elements apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (den - num)
+            good = []
+            for limit, x, y in zip(most, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = (np.frombuffer(v, np.uint8) for v in (x, y))
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                good.append(int(np.bitwise_count(x ^ y).sum()) * (num + den) <= limit)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (signs.where("s1 is not null").select(F.col("id").alias(c), F.col("parity").alias(f"parity_{c}")) for c in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets, as words, reach the threshold. texts: id, text."""
 
@@ -278,13 +312,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         .join(a_side, "a")
         .join(b_side, "b")
         .where(near & F.expr("rep_a <> rep_b"))
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")),
+        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b"),
         "pairs",
     )
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # Texts travel only for pairs that their parity vectors don't rule out.
+    close = materialise(_may_link(pairs, signs, num, den), "close")
+    wanted = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = materialise(whole.join(wanted, "id", "left_semi"), "texts")
-    links = materialise(_verified(pairs, texts, k, num, den), "links")
+    links = materialise(_verified(close, texts, k, num, den), "links")
     found = connected_components(links)
 
     # Lists that their proposals left in several components: pairs of members across components that can link are verified.
@@ -297,10 +333,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     # The proposals of a list of three are all its pairs, unless it lies in several partitions.
     long = members.groupBy("key").count().where("count > 3").select("key").unionByName(ties.select("key")).distinct()
     suspects = members.join(long, "key", "left_semi").select("s1").distinct().join(home, "s1").select(F.col("rep").alias("id"), "n", "component").distinct()
-    rest = _rare_first_pairs(texts.join(suspects, "id"), k, num, den)
+    suspects = materialise(whole.join(suspects, "id"), "suspects")
+    rest = _rare_first_pairs(suspects, k, num, den)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, texts, k, num, den)
+    more = _verified(rest, suspects.select("id", "text"), k, num, den)
 
     # Ids that rows with different sets share tie those sets together.
     own = signs.where("s1 is not null and id is not null").join(nodes.select("s1", "s2", "rep"), ["s1", "s2"])
@@ -327,7 +364,6 @@ reach, for the link. In each list the members of the component with most members
                 row = pa.array(np.repeat(np.arange(first, first + len(at) - 1), np.diff(at)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(e.view(np.int64))], ["id", "shingle"])
 
-    suspects = materialise(suspects, "suspects")
     elements = suspects.select("id", "text").mapInArrow(run, "id long, shingle long")
     elements = materialise(elements, "elements")
     common = elements.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
