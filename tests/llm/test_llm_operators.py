@@ -123,6 +123,31 @@ def test_packing(docs):
     assert len(bins) == len(rooms)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_is_piece_by_piece_best_fit(seed):
+    rng = random.Random(seed)
+    size = rng.choice([7, 64, 300])
+    histogram = {n: rng.choice([1, 2, 9, 200]) for n in rng.sample(range(1, size + 1), min(size, rng.choice([3, 6, 20])))}
+    if seed == 0:
+        size, histogram = 2048, {1100: 3, 400: 3, 300: 4}
+    rooms = []
+    for length in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        best = min((i for i, room in enumerate(rooms) if room >= length), key=lambda i: rooms[i], default=None)
+        if best is None:
+            best = len(rooms)
+            rooms.append(size)
+        rooms[best] -= length
+    runs, filled, ranks = packing.plan(histogram, size), {}, {}
+    for (length, rank, first, offset), after in zip(runs, [*runs[1:], None], strict=True):
+        assert rank == ranks.get(length, 0)
+        pieces = (after[1] if after and after[0] == length else histogram[length]) - rank
+        ranks[length] = rank + pieces
+        for b in range(first, first + pieces):
+            assert filled.get(b, 0) == offset
+            filled[b] = offset + length
+    assert ranks == histogram and sorted(size - f for f in filled.values()) == sorted(rooms)
+
+
 def test_quick_tokens_are_the_tokenizers_own():
     import public_tokenizers
     from tokenizers import Tokenizer

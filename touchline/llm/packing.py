@@ -3,7 +3,7 @@
 Lengths are whole numbers up to the sequence length, so best fit decreasing doesn't need the pieces, only how many there
 are of each length. The plan is made on that histogram: open bins of equal room are one class, a segment tree over the
 rooms finds the tightest class that still takes a length in logarithmic time, and as many equal pieces as possible are
-placed at a time. The result is the packing that piece-by-piece best fit decreasing gives, in a time and space bounded
+placed at a time, each bin of the class filled before the next. The result is the packing that piece-by-piece best fit decreasing gives, in a time and space bounded
 by the sequence length, whatever the number of documents. Tasks then give each piece its place by its rank among the
 pieces of its length; ranks are sums of counts by task, so no length is gathered anywhere.
 """
@@ -67,31 +67,24 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int]
         while left:
             room = tree.tightest(length)
             if room is None:
-                per_bin = size // length
-                bins = -(-left // per_bin)
-                full = bins if left == bins * per_bin else bins - 1
-                # Equal pieces fill a bin one after the other, as the bin opened last is the tightest.
-                for slot in range(per_bin):
-                    n = full + (full < bins and slot < left - full * per_bin)
-                    if n:
-                        runs.append((length, rank, used, slot * length))
-                        rank += n
-                for first, n, held in ((used, full, per_bin), (used + full, bins - full, left - full * per_bin)):
-                    if n:
-                        open_bins.setdefault(size - held * length, []).append((first, n))
-                        tree.add(size - held * length, n)
-                used, left = used + bins, 0
-                continue
-            first, n = open_bins[room].pop()
-            taken = min(n, left)
-            if taken < n:
-                open_bins[room].append((first + taken, n - taken))
-            runs.append((length, rank, first, size - room))
-            rest = room - length
-            open_bins.setdefault(rest, []).append((first, taken))
-            tree.add(room, -taken)
-            tree.add(rest, taken)
-            rank, left = rank + taken, left - taken
+                room, first, n = size, used, -(-left // (size // length))
+                used += n
+            else:
+                first, n = open_bins[room].pop()
+                tree.add(room, -n)
+            # Equal pieces fill a bin one after the other, as the bin used last is the tightest.
+            per_bin = room // length
+            full, part = divmod(min(left, n * per_bin), per_bin)
+            for slot in range(per_bin):
+                pieces = full + (slot < part)
+                if pieces:
+                    runs.append((length, rank, first, size - room + slot * length))
+                    rank, left = rank + pieces, left - pieces
+            begun = int(part > 0)
+            for bins, at, rest in ((full, first, room - per_bin * length), (begun, first + full, room - part * length), (n - full - begun, first + full + begun, room)):
+                if bins:
+                    open_bins.setdefault(rest, []).append((at, bins))
+                    tree.add(rest, bins)
     return runs
 
 
