@@ -157,6 +157,19 @@ def test_quick_tokens_are_the_tokenizers_own():
         assert list(np.frombuffer(encode(text), "<u4")) == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("token", ["<|startoftext|>", "<|endoftext|>"])
+def test_added_tokens_inside_texts_are_the_tokenizers_own(token):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing._encoder(packing.TOKENIZER)
+    special = t.token_to_id(token)
+    for text in (token, f"one{token}two", f" A {token} b{token}", token.upper(), token[:-1], f"<{token}>"):
+        ids = list(np.frombuffer(encode(text), "<u4"))
+        assert ids == t.encode(text, add_special_tokens=False).ids
+        assert token not in text or special in ids
+
+
 def test_mixing(docs):
     df, rows = docs
     out = mixing.mix(df, block_docs=5).collect()

@@ -111,6 +111,10 @@ class _PartIds(dict):
         return value
 
 
+def _lowered(text: str) -> str:
+    return unicodedata.normalize("NFC", text).lower()
+
+
 @lru_cache(maxsize=2)
 def _encoder(file: str):
     import public_tokenizers
@@ -119,11 +123,15 @@ def _encoder(file: str):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
     parts = _PartIds(tokenizer)
     by_part = file == TOKENIZER
+    # Added tokens are matched inside texts before any splitting; whatever might hold one goes the tokenizer's own way.
+    added = re.compile("|".join(re.escape(_lowered(t.content)) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
 
     def encode(text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers, without special tokens."""
         if by_part and _PLAIN.fullmatch(text):
-            return b"".join(map(parts.__getitem__, _PARTS.findall(unicodedata.normalize("NFC", text).lower())))
+            low = _lowered(text)
+            if not added.search(low):
+                return b"".join(map(parts.__getitem__, _PARTS.findall(low)))
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return encode
