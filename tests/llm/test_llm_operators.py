@@ -215,6 +215,20 @@ def test_pii_base_spans(spark):
         assert set(filter(None, whole.split(","))) <= set(r.spans.split(","))
 
 
+def test_pii_spelled_out_emails_reach_the_classifier(spark):
+    hits = [f"jane{a}example{b}{d}com" for a in ("[at]", "(at)", " at ", " [at] ", " (at) ") for b in ("[dot]", "(dot)", " dot ", " [dot] ", " (dot) ") for d in ("", f"co{b}")]
+    texts = [f"contact {hit}" for hit in hits]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    loose = {r.doc_id: [(x.start, x.end) for x in r.loose] for r in pii.candidates(df).collect()}
+    assert loose == {i: [(8, len(t))] for i, t in enumerate(texts)}
+    # Strict emails, some without a trigger word, beside the spelled-out ones and beside words that only look like them.
+    texts += [f"mail jo{i}@example.com" for i in range(200)] + [f"jo{i}@example.com" for i in range(50)] + ["met at noon [dot] and left"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    assert all(spans[i] == f"email:8:{len(texts[i])}" for i in range(len(hits)))
+    assert all(spans[i] == "" for i in range(len(texts) - 20, len(texts)))
+
+
 def test_warc_round_trip_and_salvage(spark):
     html = "<p>" + "é" * 200 + "</p>"
     rows = [(1, "http://a/x y", html), (2, None, html), (3, "u", None), (4, "u", "short"), (5, "u", "short"), (6, "u", html + "!")]

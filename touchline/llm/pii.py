@@ -40,7 +40,7 @@ _GATE = {
     ("ip", True): r"rlike(t, r'[0-9]\.[0-9]')",
     ("card", True): r"rlike(t, r'[0-9](?:[\x20-]?[0-9]){12}')",
     ("phone", True): "contains(t, '+')",
-    ("email", False): "contains(t, 'at]') or contains(t, 'at)') or contains(t, ' dot ')",
+    ("email", False): "(contains(t, '[at]') or contains(t, '(at)') or contains(t, ' at ')) and (contains(t, '[dot]') or contains(t, '(dot)') or contains(t, ' dot '))",
     ("ip", False): "contains(t, '[.]') or contains(t, '(.)')",
     ("card", False): r"rlike(t, r'[0-9]{4}[./][0-9]{4}[./]')",
     ("phone", False): r"rlike(t, r'[0-9]{3}[.\x20-][0-9]{3,4}')",
