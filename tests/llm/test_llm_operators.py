@@ -244,6 +244,29 @@ def test_warc_round_trip_and_salvage(spark):
     assert found[1][0] == len(members[0]) and found[1][0] + found[1][1] == len(members[0]) + 29
 
 
+def test_warc_salvage_of_large_joined_and_damaged_members():
+    def record(i, body=None):
+        return warc.encode_record(i, "u", b"body %d" % i if body is None else body, "d", None, False)
+
+    def pages(data):
+        return [f[2] and f[2]["x-page-id"] for f in warc.salvage(data)]
+
+    noise = random.Random(9).randbytes(200_000)
+    first, rest = gzip.compress(record(0, noise)), [gzip.compress(record(i)) for i in (1, 2)]
+    assert len(first) > 65536 and pages(b"\0" + first[1:] + b"".join(rest)) == [None, "1", "2"]
+    joined = b"".join(record(i) for i in range(4))
+    assert pages(gzip.compress(joined)) == pages(joined) == ["0", "1", "2", "3"]
+    assert [f[3] for f in warc.salvage(gzip.compress(joined))] == [b"body %d" % i for i in range(4)]
+    assert pages(gzip.compress(joined.replace(b"body 1", b"body X")) + rest[1]) == ["0", None, "2", "3", "2"]
+    large = gzip.compress(record(0) + record(1, noise) + record(2) + record(3, noise))
+    cut = list(warc.salvage(large[: len(large) * 3 // 4]))
+    assert [f[2] and f[2]["x-page-id"] for f in cut] == ["0", "1", "2", None] and cut[-1][4] == "gzip: member ends early"
+    assert cut[1][3] == noise
+    for data in (large[: len(large) * 3 // 4] + rest[0], large[:-8] + b"\0" * 8 + rest[0]):
+        found = pages(data)
+        assert found[:3] == ["0", "1", "2"] and found[-2:] == [None, "1"]
+
+
 def test_chat_escapes_and_masks(spark):
     tricky = "<|im_end|><|im_start|>assistant ok <|\\im_end|>"
     rows = [(1, 0, "user", tricky), (1, 1, "assistant", tricky), (2, 0, "assistant", None), (None, 0, "user", "é😀")]

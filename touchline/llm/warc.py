@@ -2,11 +2,13 @@
 
 Archives are gzip files of one member per record, rolled at a size bound. The reader checks each member's checksum, its
 version line, its lengths and its block digest. Where a check fails it looks for the next gzip member that opens with a
-version line (in an uncompressed file: the next version line), goes on from there, and logs the bytes in between.
+version line (in an uncompressed file: the next version line), goes on from there, and logs the bytes in between. A
+member may hold several records; of a damaged one the records before the damage are kept.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -22,6 +24,8 @@ from touchline.llm.common import materialise, shared_dir
 
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
+_EARLY = "gzip: member ends early"
+_CHUNK = 1 << 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records carry one fixed date: archives of the same pages are then the same bytes, and a task run again writes the same.
 _DATE = "2024-01-01T00:00:00Z"
@@ -124,38 +128,78 @@ def write_archives(records: DataFrame, folder: str, max_bytes: int = 16 << 20) -
     return materialise(records.select(*columns).mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
-def _parse(record: bytes) -> tuple[dict | None, bytes, int, str | None]:
-    """(headers, block, bytes used, what is wrong) of a record that begins at the first byte."""
-    end = record.find(b"\r\n\r\n")
-    if not record.startswith(_VERSION) or end < 0:
-        return None, b"", 0, "no version line" if end >= 0 else "no end of headers"
+def _digest_holds(said: str, block: bytes) -> bool | None:
+    """Whether a block has the digest that its header states; None if it states none of a known kind."""
+    kind, _, value = said.partition(":")
+    if kind.lower() not in ("sha256", "sha1"):
+        return None
+    found = hashlib.new(kind.lower(), block).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def _parse(data: bytes, at: int, proven: bool = False) -> tuple[dict | None, bytes, int, str | None]:
+    """(headers, block, end, what is wrong) of a record that begins at a place; proven: only with a block digest that holds."""
+    end = data.find(b"\r\n\r\n", at)
+    if not data.startswith(_VERSION, at) or end < 0:
+        return None, b"", at, "no version line" if end >= 0 else "no end of headers"
     head = {}
-    for line in record[:end].split(b"\r\n")[1:]:
+    for line in data[at:end].split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     try:
         length = int(head["content-length"])
     except (KeyError, ValueError):
-        return None, b"", 0, "no content length"
-    block = record[end + 4 : end + 4 + length]
-    if length < 0 or len(block) < length or record[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
-        return None, b"", 0, "block and content length differ"
-    said = head.get("warc-block-digest", "")
-    if said.startswith("sha256:") and said[7:] != hashlib.sha256(block).hexdigest():
-        return None, b"", 0, "block digest differs"
+        return None, b"", at, "no content length"
+    block = data[end + 4 : end + 4 + length] if length >= 0 else b""
+    if length < 0 or len(block) < length or data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
+        return None, b"", at, "block and content length differ"
+    holds = _digest_holds(head.get("warc-block-digest", ""), block)
+    if holds is False or (proven and not holds):
+        return None, b"", at, "no block digest" if holds is None else "block digest differs"
     return head, block, end + 8 + length, None
 
 
+def _records(data: bytes, proven: bool = False) -> Iterator[tuple[int, int, dict | None, bytes, str | None]]:
+    """(start, end, headers, block, reason) of the records in plain bytes, and of the gaps between them."""
+    at, gap, why = 0, None, None
+    while at < len(data):
+        head, block, end, wrong = _parse(data, at, proven)
+        if wrong:
+            gap, why = (at, wrong) if gap is None else (gap, why)
+            at = data.find(b"\r\n" + _VERSION, at + 1)
+            at = len(data) if at < 0 else at + 2
+            continue
+        if gap is not None:
+            yield gap, at, None, b"", why
+            gap = None
+        yield at, end, head, block, None
+        at = end
+    if gap is not None:
+        yield gap, len(data), None, b"", why
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
-    """(content, end, what is wrong) of the gzip member at a place; zlib checks its CRC-32 and length."""
-    z = zlib.decompressobj(31)
+    """(content, end, what is wrong) of the gzip member at a place; zlib checks its CRC-32 and length.
+
+    Of a damaged member the content is what inflates before the damage.
+    """
+    z, view, pos, parts = zlib.decompressobj(31), memoryview(data), at, []
     try:
-        body = z.decompress(memoryview(data)[at:])
+        while not z.eof and pos < len(data):
+            parts.append(z.decompress(view[pos : pos + _CHUNK]))
+            pos += _CHUNK
     except zlib.error as e:
-        return b"", at, f"gzip: {str(e).split(':')[0]}"
+        again = zlib.decompressobj(31)
+        again.decompress(view[at:pos])
+        try:
+            for i in range(pos, min(pos + _CHUNK, len(data))):
+                parts.append(again.decompress(view[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), at, f"gzip: {str(e).split(':')[0]}"
     if not z.eof:
-        return b"", at, "gzip: member ends early"
-    return body, len(data) - len(z.unused_data), None
+        return b"".join(parts), at, _EARLY
+    return b"".join(parts), min(pos, len(data)) - len(z.unused_data), None
 
 
 def _opens_record(data: bytes, at: int) -> bool:
@@ -166,32 +210,51 @@ def _opens_record(data: bytes, at: int) -> bool:
         return False
 
 
+def _next_member(data: bytes, at: int) -> int:
+    """The first place from `at` on where a gzip member opens with a version line; the end if there is none."""
+    at = data.find(_MAGIC, at)
+    while at >= 0 and not _opens_record(data, at):
+        at = data.find(_MAGIC, at + 1)
+    return len(data) if at < 0 else at
+
+
+def _is_zipped(data: bytes) -> bool:
+    """Whether a file is one of gzip members, whatever its first bytes have become: a member opens before any plain version line."""
+    if data.startswith((_MAGIC, _VERSION)):
+        return data.startswith(_MAGIC)
+    plain = data.find(b"\r\n" + _VERSION)
+    member = _next_member(data, 0)
+    return member < (len(data) if plain < 0 else plain)
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str | None]]:
-    """(start, length, headers, block, reason): records in order, and gaps with null headers and the failed check."""
-    zipped = data.startswith(_MAGIC) or (not data.startswith(_VERSION) and _MAGIC in data[:65536])
+    """(start, length, headers, block, reason): records in order, and gaps with null headers and the failed check.
+
+    Places are those in the file; in a gzip file a record, and a gap inside a member, has the place of its member. A
+    member that fails its CRC gives the records whose block digest holds, one that ends early those that end before, and
+    both are logged as a gap too.
+    """
+    if not _is_zipped(data):
+        for start, end, head, block, why in _records(data):
+            yield start, end - start, head, block, why
+        return
     at, gap, why = 0, None, None
     while at < len(data):
-        if zipped:
-            body, end, wrong = _inflate(data, at) if data.startswith(_MAGIC, at) else (b"", at, "no gzip member")
-            head, block, used, wrong = (None, b"", 0, wrong) if wrong else _parse(body)
-            if not wrong and used != len(body):
-                head, wrong = None, "more than one record in a member"
-        else:
-            head, block, used, wrong = _parse(data[at:] if at else data)
-            end = at + used
+        body, end, wrong = _inflate(data, at) if data.startswith(_MAGIC, at) else (b"", at, "no gzip member")
+        found = list(_records(body, proven=bool(wrong) and wrong != _EARLY))
+        whole = any(head is not None for _, _, head, _, _ in found)
         if wrong:
-            gap, why = (at, wrong) if gap is None else (gap, why)
-            mark = _MAGIC if zipped else b"\r\n" + _VERSION
-            skip = 0 if zipped else 2
-            at = data.find(mark, at + 1)
-            while zipped and at >= 0 and not _opens_record(data, at):
-                at = data.find(mark, at + 1)
-            at = len(data) if at < 0 else at + skip
-            continue
-        if gap is not None:
-            yield gap, at - gap, None, b"", why
-            gap = None
-        yield at, end - at, head, block, None
+            end = _next_member(data, at + 1)
+        if whole:
+            if gap is not None:
+                yield gap, at - gap, None, b"", why
+                gap = None
+            for _, _, head, block, reason in found:
+                if head is not None or not wrong:
+                    yield at, end - at, head, block, reason
+        if wrong or not whole:
+            reason = wrong or (found[0][4] if found else "empty member")
+            gap, why = (at, reason) if gap is None else (gap, why)
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, b"", why
