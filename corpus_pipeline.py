@@ -24,8 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources in their target shares; a document that the mix repeats is there as often."""
-    return mixing.mixed_documents(docs)
+    """The sources in their target shares, in shuffled shards; a document that the mix repeats is there as often."""
+    return mixing.draw(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

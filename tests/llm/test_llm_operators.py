@@ -188,6 +188,78 @@ def test_mixing(docs):
             assert abs(sum(r.taken for r in v) - v[0].target) <= most
 
 
+def test_draw_takes_each_row_as_often_as_the_mix_says(spark):
+    rng = random.Random(10)
+    rows = [(None if i % 3 == 0 else i // 4, " ".join(["w"] * rng.randrange(1, 30)), f"s{i % 3}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tag long").repartition(3)
+    mixed, drawn = mixing.mix(df, block_docs=20).collect(), mixing.draw(df, block_docs=20).collect()
+    target = {r.source_size: r.target for r in mixed}
+    takes = {}
+    for r in drawn:
+        assert (r.doc_id, r.text, r.source, r.tag) == rows[r.tag]
+        takes[r.tag] = takes.get(r.tag, 0) + 1
+    # Rows of the same id and size may stand for one another; otherwise the copies are the mix's own.
+    want = sorted((str(r.doc_id), r.size, r.copies) for r in mixed)
+    assert sorted((str(d), len(t.split()), takes.get(i, 0)) for d, t, _, i in rows) == want
+    assert any(r.doc_id is None for r in drawn)
+    for s in ("s0", "s1", "s2"):
+        whole = sum(len(t.split()) for _, t, source, _ in rows if source == s)
+        assert abs(sum(len(r.text.split()) for r in drawn if r.source == s) - target[whole]) < 30
+    shards = [s for r in mixed for s in r.shards]
+    assert sorted(r.shard for r in drawn) == sorted(shards) and len(set(shards)) == 8
+    tags = [r.tag for r in drawn if r.shard == 0]
+    assert [r.shard for r in drawn] == sorted(r.shard for r in drawn) and tags != sorted(tags)
+    again = mixing.draw(df.repartition(5), block_docs=20).collect()
+    assert [(r.doc_id, r.text, r.shard) for r in again] == [(r.doc_id, r.text, r.shard) for r in drawn]
+
+
+def test_split_tree_halves_exactly(spark):
+    blocks = spark.createDataFrame([(s, b, c) for s in (1, 2, 3) for b in range(9 * s) for c in (1, 2)], "source_rank int, block long, copy int")
+    dealt = mixing.split_tree(blocks, 8, 5)
+    found, quotas = dealt.collect(), mixing.quotas(dealt).collect()
+    assert sorted((r.source_rank, r.block, r.copy) for r in found) == sorted(map(tuple, blocks.collect()))
+    assert sorted(sum(r.shard == s for r in found) for s in range(8)) == [13] * 4 + [14] * 4
+    assert all(r.blocks == sum((x.shard, x.source_rank) == (r.shard, r.source_rank) for x in found) for r in quotas)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([3, 40, 90]))) for _ in range(60)]
+    texts += texts[:15] + [t.replace(t.split()[0], "new", 1) for t in texts[15:30]]
+    rows = [(None if i in (3, 70) else i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    groups = {}
+    for doc, text, _ in rows:
+        groups.setdefault(text, []).append(doc)
+    single = corpus_pipeline.drop_copies(spark, df, "")
+    want = {(max((d for d in ids if d is not None), default=None), text) for text, ids in groups.items()}
+    assert sorted((str(r.doc_id), r.text) for r in single.collect()) == sorted((str(d), t) for d, t in want)
+    known = [(d, t) for d, t, _ in rows if d is not None]
+    sets, home = {d: _shingles(t, 5) for d, t in known}, {d: d for d, _ in known}
+
+    def root(i):
+        return i if home[i] == i else root(home[i])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                home[y] = x
+    near = corpus_pipeline.drop_near_copies(spark, df.where("doc_id is not null"), "").collect()
+    assert {r.doc_id for r in near} == {d for d in sets if root(d) == d} and len(near) < len(sets)
+    labels = [(i, int(i % 2)) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    scores = {(r.doc_id, r.predicted) for r in toxicity.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    clean = corpus_pipeline.drop_toxic(spark, df.where("doc_id is not null"), str(tmp_path)).collect()
+    assert {r.doc_id for r in clean} == {d for d, bad in scores if d is not None and not bad}
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    assert mixed.count() == sum(r.copies for r in mixing.mix(df).collect())
+    assert corpus_pipeline.pack(spark, mixed, "").select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
+
+
 def test_pii_base_spans(spark):
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

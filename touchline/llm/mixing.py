@@ -101,8 +101,14 @@ def mix(
     id are documents of their own; other columns are ignored; an empty table gives an empty result. The same table and
     seed give the same mix.
     """
+    return _deal(docs, [], weights, most, shards, block_docs, seed)
+
+
+def _deal(docs: DataFrame, keys: list[str], weights: tuple[int, ...], most: int, shards: int, block_docs: int, seed: int) -> DataFrame:
+    """mix() with the columns `keys` of docs before its own; they decide where a repeated id of the same size ties."""
     size = F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long")
-    sizes = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    sizes = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    sizes = materialise(sizes, "sizes")
     sources = materialise(targets(sizes, weights, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     n_blocks = F.ceil(F.col("n_docs") / block_docs)
@@ -113,9 +119,9 @@ def mix(
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
         .withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), n_blocks))
-        .select("doc_id", "size", "source_rank", "source_size", "target", "whole", "rest", "block", "order")
+        .select(*keys, "doc_id", "size", "source_rank", "source_size", "target", "whole", "rest", "block", "order")
     )
-    inside = Window.partitionBy("source_rank", "block").orderBy("order", "doc_id", "size")
+    inside = Window.partitionBy("source_rank", "block").orderBy("order", "doc_id", "size", *keys)
     placed = materialise(placed.withColumn("nr", F.row_number().over(inside)), "placed")
 
     blocks = placed.groupBy("source_rank", "block").agg(F.sum("size").alias("words"), F.max("whole").alias("whole"), F.max("rest").alias("rest"))
@@ -131,6 +137,7 @@ def mix(
     extra = (F.col("rest") > 0) & (F.col("more") | F.coalesce("fits", F.lit(False)))
     taken = taken.withColumn("copies", F.col("whole") + extra.cast("int"))
     return taken.select(
+        *keys,
         "doc_id",
         "size",
         "source_size",
@@ -141,15 +148,20 @@ def mix(
     )
 
 
-def draw(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: docs' columns and `shard`, a row for each copy, in shuffled order within each shard."""
-    chosen = mix(docs, **settings).select("doc_id", F.posexplode("shards").alias("copy", "shard"))
-    rows = docs.join(chosen, "doc_id").withColumn("__order", F.xxhash64("doc_id", "copy", "shard"))
-    return rows.repartitionByRange("shard", "__order").sortWithinPartitions("shard", "__order").select(*docs.columns, "shard")
-
+def draw(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 8, block_docs: int = 500, seed: int = 20
+) -> DataFrame:
+    """The mix itself: docs' columns and `shard`, a row for each copy, in shuffled order within each shard.
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """docs' columns, each document as often as the mix takes it; copies keep their id. A null id takes no part."""
-    chosen = mix(docs, **settings).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    rows = docs.join(chosen, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
-    return rows.select(*docs.columns)
+    Rows get a key of their own, so null and repeated ids are dealt like others; copies keep their id. A column `shard`
+    of docs is replaced.
+    """
+    columns = [c for c in docs.columns if c != "shard"]
+    content = F.xxhash64("doc_id", "source", "text")
+    rows = materialise(docs.select(*columns).withColumn("__content", content).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    dealt = _deal(rows, ["__content", "__row"], weights, most, shards, block_docs, seed)
+    chosen = dealt.where("copies > 0").select("__row", F.posexplode("shards").alias("copy", "shard"))
+    order = F.xxhash64("__content", "copy", "shard", F.lit(seed))
+    drawn = rows.join(chosen, "__row").withColumn("__order", order)
+    place = ["shard", "__order", "__row"]
+    return drawn.repartitionByRange(*place).sortWithinPartitions(*place).select(*columns, "shard")
