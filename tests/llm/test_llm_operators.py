@@ -360,6 +360,23 @@ def test_html_main_text(spark):
     assert out[2].text == out[3].text == "" and len(out) == 4
 
 
+def test_html_wording_that_a_host_repeats_in_its_articles(spark):
+    def page(i):
+        advert = "<p>Buy the blue lamp now</p>" if i % 3 else ""
+        return f"<html><body><div>Top line</div><article><h1>Title {i}</h1><p>Share this story with friends</p><p>Body {i} is here.</p>{advert}<p>End {i}.</p></article><div>Bottom</div></body></html>"
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(12)]
+    # Copies of one page, alone on a host and beside others, and a line that stands on few pages, are no template.
+    rows += [(100 + i, "http://copies/", page(1)) for i in range(6)] + [(200 + i, f"http://h/{i}", page(1)) for i in range(30)]
+    rows += [(300 + i, f"http://few/{i}", page(i).replace(f"Body {i} is", "Body same is" if i < 2 else f"Body {i} is")) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert all(out[i] == f"Title {i}\n\nBody {i} is here.\n\nEnd {i}." for i in range(12))
+    assert all("Share this story" in out[100 + i] and "Body 1 is here." in out[100 + i] for i in range(6))
+    assert all(out[200 + i] == out[1] for i in range(30))
+    assert all(out[300 + i].startswith(f"Title {i}\n\nBody {'same' if i < 2 else i} is here.") for i in range(9))
+
+
 def test_ann_finds_the_largest_products(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(600, 16)).astype(np.float32)

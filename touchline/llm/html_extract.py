@@ -1,14 +1,18 @@
 """Main-text extraction by equivalence-class template deduction.
 
-1. Every page gives its tokens: each structural element by its path of tags and classes, each short text outside the
-   article by its path and wording, with the number of times it occurs on the page.
+1. Every page gives its tokens: each structural element by its path of tags and classes, each text by its path and
+   wording, in the article or not, with the number of times it occurs on the page. Pages of a host with the same texts in
+   the article are one page here, so that copies of a page don't make its text a template.
 2. Over all pages of a host, tokens with the same occurrence vector (the same count on the same pages) form a class. A
    class is found by the exclusive or of hashes of (page, count), so vectors are aggregated before the shuffle and a host
-   with a third of all pages is no hot group. Classes that occur on at least half of the host's pages, two at least, are
-   valid. Those that occur once on every page are the template's frame; repeated and optional ones nest inside it.
-3. Texts that are template tokens are the template's own wording. What remains are its slots. The main text is what the
-   slots of the article (or `main`) hold, less menus, notices, adverts, forms and comments by their tags and class names;
-   a page without one gives all slots but link lists.
+   with a third of all pages is no hot group. Classes that occur on at least half of the host's pages, three at least, can
+   be valid. The one that occurs once on every page is the template's frame.
+3. A second scan checks order and nesting. A frame token is valid if the same frame token precedes it on every page; a
+   token of another class if it always lies in one slot of the frame. A class is cut by slots, a host whose frame has
+   fewer than three valid tokens has no template.
+4. Texts that are template tokens are the template's own wording, on every page. What remains are its slots. The main text
+   is what the slots of the article (or `main`) hold, less menus, notices, adverts, forms and comments by their tags and
+   class names; a page without one gives all slots but link lists.
 """
 
 from __future__ import annotations
@@ -130,56 +134,120 @@ def _token(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}") - 2**63
 
 
+#: The token of a page itself; its support is the number of a host's pages.
+_PAGE = 0
+MIN_SUPPORT = 3
+MIN_FRAME = 3
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, times) of every page: its places, and its texts outside the article of at most 400 characters.
+    """(host, page, token, times) of every page with text: the page itself, its places and its texts.
 
-    The bound is on what can be template wording, not on what is extracted.
+    page is a hash of the article's texts, or without an article of all texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen = Counter(_token(path, text) for path, text, article, *_ in blocks(html or "") if not text or (not article and len(text) <= 400))
+            for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = list(blocks(html or ""))
+                texts = [text for _, text, article, *_ in found if text and article] or [text for _, text, *_ in found if text]
+                if not texts:
+                    continue
+                page = _token("", "\n".join(texts))
+                seen = Counter(_token(path, text) for path, text, *_ in found)
+                seen[_PAGE] = 1
                 rows += [(host, page, token, times) for token, times in seen.items()]
                 if len(rows) > 20_000:
-                    yield _rows(rows)
+                    yield _batch(rows, (pa.string(), pa.int64(), pa.int64(), pa.int32()), ["host", "page", "token", "times"])
                     rows = []
             if rows:
-                yield _rows(rows)
+                yield _batch(rows, (pa.string(), pa.int64(), pa.int64(), pa.int32()), ["host", "page", "token", "times"])
 
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "page", "token", "times"])
+    found = pages.select("host", "html").mapInArrow(run, "host string, page long, token long, times int")
+    return found.groupBy("host", "page", "token").agg(F.max("times").alias("times"))
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, token long, times int")
 
+def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-def template_classes(tokens: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(host, level, support, vector, tokens): the valid classes of each host, level 0 the frame, 1 repeated, 2 optional.
 
-    hosts: host, pages. The tokens of a host's valid classes are at most twice those of its average page.
+def template_classes(tokens: DataFrame) -> DataFrame:
+    """(host, level, support, vector, tokens): the frequent classes of each host, level 0 the frame, 1 repeated, 2 optional.
+
+    The tokens of a host's frequent classes are at most twice those of its average page.
     """
     vectors = tokens.groupBy("host", "token").agg(
         F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.max("times").alias("most")
     )
-    valid = vectors.join(hosts, "host").where("support >= 2 and support * 2 >= pages")
+    frequent = materialise(vectors.where(F.col("support") >= MIN_SUPPORT), "vectors")
+    hosts = frequent.where(F.col("token") == _PAGE).select("host", F.col("support").alias("pages"))
+    valid = frequent.where(F.col("token") != _PAGE).join(hosts, "host").where("support * 2 >= pages")
     level = F.when(F.col("support") < F.col("pages"), 2).when(F.col("most") > 1, 1).otherwise(0)
     return valid.withColumn("level", level).groupBy("host", "level", "support", "vector").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
 
 
+def _by_host(pages: DataFrame, lists: DataFrame, names: tuple[str, ...], each, columns: tuple[str, ...], schema: str) -> DataFrame:
+    """each(part, sets) over runs of pages, sets being for each page its host's token lists `names` as sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[frozenset[int], ...]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = []
+                for host, *found in zip(part.column("host").to_pylist(), *(part.column(n) for n in names), strict=True):
+                    if host not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[host] = tuple(frozenset(f.as_py() or ()) for f in found)
+                    sets.append(known[host])
+                yield from each(part, sets)
+
+    return pages.join(lists, "host", "left").select(*columns, *names).mapInArrow(run, schema)
+
+
+def valid_tokens(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """(host, level, vector, slot, tokens): classes whose tokens keep the frame's order or lie in one slot of it."""
+    listed = classes.select("host", "level", F.explode("tokens").alias("token"), "vector")
+    inner = F.collect_list(F.when(F.col("level") > 0, F.col("token")))
+    lists = listed.groupBy("host").agg(F.collect_list(F.when(F.col("level") == 0, F.col("token"))).alias("frame"), inner.alias("inner"))
+
+    def each(part: pa.RecordBatch, sets: list[tuple[frozenset[int], ...]]) -> Iterator[pa.RecordBatch]:
+        places = set()
+        for host, html, (frame, inner) in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), sets, strict=True):
+            slot = _PAGE
+            for path, text, *_ in blocks(html or "") if frame else ():
+                token = _token(path, text)
+                if token in frame:
+                    places.add((host, token, slot))
+                    slot = token
+                elif token in inner:
+                    places.add((host, token, slot))
+        if places:
+            yield _batch(list(places), (pa.string(), pa.int64(), pa.int64()), ["host", "token", "slot"])
+
+    found = _by_host(pages, lists, ("frame", "inner"), each, ("host", "html"), "host string, token long, slot long")
+    nested = found.groupBy("host", "token").agg(F.min("slot").alias("slot"), F.max("slot").alias("last")).where("slot = last").drop("last")
+    kept = listed.join(nested, ["host", "token"]).withColumn("slot", F.when(F.col("level") > 0, F.col("slot")))
+    return kept.groupBy("host", "level", "vector", "slot").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+
+
 def extract(html: str | None, template: frozenset[int]) -> str:
-    """Main text of a page, its blocks joined by two line ends; empty if there is none."""
+    """Main text of a page, its blocks joined by two line ends; empty if there is none.
+
+    A page all of whose main text is the host's template wording keeps it.
+    """
     found = [b for b in blocks(html or "") if b[1]]
     has_article = any(article and not apart for _, _, article, apart, _, _ in found)
-    out = []
+    whole, out = [], []
     for path, text, article, apart, heading, links in found:
-        if apart or (has_article and not article):
-            continue
-        if not has_article and ((links > 0.6 and not heading) or _token(path, text) in template):
+        if apart or (has_article and not article) or (not has_article and links > 0.6 and not heading):
             continue
-        out.append(text)
-    return "\n\n".join(out)
+        whole.append(text)
+        if _token(path, text) not in template:
+            out.append(text)
+    return "\n\n".join(out or (whole if has_article else out))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -190,27 +258,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    rows = rows.withColumn("page", F.xxhash64("page_id", "url"))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    classes = template_classes(page_tokens(rows), hosts)
-    templates = materialise(classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "templates")
+    classes = materialise(template_classes(page_tokens(rows)), "classes")
+    valid = materialise(valid_tokens(rows, classes), "nested")
+    framed = valid.where("level = 0").groupBy("host").agg(F.sum(F.size("tokens")).alias("n")).where(F.col("n") >= MIN_FRAME).select("host")
+    templates = valid.join(framed, "host", "left_semi").groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    templates = materialise(templates, "templates")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, frozenset[int]] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = []
-                for html, host, template in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), part.column("template"), strict=True):
-                    if host not in known:
-                        if len(known) > 1000:
-                            known.clear()
-                        known[host] = frozenset(template.as_py() or ())
-                    texts.append(extract(html, known[host]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    ["page_id", "url", "text", "n_chars"],
-                )
-
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "template")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    def each(part: pa.RecordBatch, sets: list[tuple[frozenset[int], ...]]) -> Iterator[pa.RecordBatch]:
+        texts = [extract(html, template) for html, (template,) in zip(part.column("html").to_pylist(), sets, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+            ["page_id", "url", "text", "n_chars"],
+        )
+
+    return _by_host(rows, templates, ("template",), each, ("page_id", "url", "html", "host"), "page_id long, url string, text string, n_chars long")
