@@ -1,4 +1,4 @@
-"""Queries that run as streams over the event table. A closing row far in the future lets the watermark pass all windows."""
+"""Queries that run as streams over the event table. Nothing closes the last window, so append mode never emits it."""
 
 from __future__ import annotations
 
