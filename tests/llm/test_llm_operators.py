@@ -213,13 +213,48 @@ def test_draw_takes_each_row_as_often_as_the_mix_says(spark):
     assert [(r.doc_id, r.text, r.shard) for r in again] == [(r.doc_id, r.text, r.shard) for r in drawn]
 
 
-def test_split_tree_halves_exactly(spark):
-    blocks = spark.createDataFrame([(s, b, c) for s in (1, 2, 3) for b in range(9 * s) for c in (1, 2)], "source_rank int, block long, copy int")
-    dealt = mixing.split_tree(blocks, 8, 5)
-    found, quotas = dealt.collect(), mixing.quotas(dealt).collect()
-    assert sorted((r.source_rank, r.block, r.copy) for r in found) == sorted(map(tuple, blocks.collect()))
-    assert sorted(sum(r.shard == s for r in found) for s in range(8)) == [13] * 4 + [14] * 4
-    assert all(r.blocks == sum((x.shard, x.source_rank) == (r.shard, r.source_rank) for x in found) for r in quotas)
+def test_quota_tree_is_exact_at_every_node(spark):
+    quotas = {1: 900, 2: 1, 3: 0, 4: 257, 5: 4000}
+    roots = spark.createDataFrame(list(quotas.items()), "source_rank int, quota long")
+    for shards in (1, 2, 8, 64):
+        leaves = mixing.quota_tree(roots, shards, 5).collect()
+        assert {r.shard for r in leaves} == set(range(shards)) and all(r.quota >= 0 for r in leaves)
+        for s, q in quotas.items():
+            assert sum(r.quota for r in leaves if r.source_rank == s) == q
+        totals = [sum(r.quota for r in leaves if r.shard == i) for i in range(shards)]
+        assert max(totals) - min(totals) <= 1
+    assert sorted(map(tuple, leaves)) == sorted(map(tuple, mixing.quota_tree(roots.repartition(3), 64, 5).collect()))
+    assert mixing.quota_tree(roots.where("quota < 0"), 8, 5).count() == 0
+
+
+@pytest.mark.parametrize(("total", "marked", "drawn"), [(12, 5, 6), (1, 1, 0), (40, 0, 20), (40, 40, 13), (3000, 1000, 1500), (10**9, 10, 5 * 10**8)])
+def test_hypergeometric_draws_follow_the_distribution(spark, total, marked, drawn):
+    from math import lgamma
+
+    from pyspark.sql import functions as F
+
+    n = 4000
+    rows = spark.range(n).select(F.expr(mixing.hypergeometric(str(total), str(marked), str(drawn), f"(id + 0.5D) / {n}")).alias("x")).groupBy("x").count().collect()
+    found = {r.x: r["count"] for r in rows}
+    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    low, high = max(0, drawn - total + marked), min(marked, drawn)
+    below = 0.0
+    for k in range(low, high + 1):
+        p = np.exp(choose(marked, k) + choose(total - marked, drawn - k) - choose(total, drawn))
+        # Evenly spaced u: the count of k is the number of them in an interval as long as its probability.
+        assert abs(found.pop(k, 0) - n * p) <= 1.01 + 1e-4 * n * (total > 10**6)
+        below += p
+    assert not found and abs(below - 1) < 1e-5
+
+
+def test_shards_draw_disjoint_copies_that_make_up_what_is_taken(docs):
+    df, rows = docs
+    out = mixing.mix(df, shards=4, block_docs=3).collect()
+    assert all(len(r.shards) == r.copies and r.taken == r.copies * r.size and set(r.shards) <= set(range(4)) for r in out)
+    assert {s for r in out for s in r.shards} == set(range(4))
+    # The same seed and one shard more than there are copies for: the number of copies doesn't depend on the shards.
+    alone = {r.doc_id: r.copies for r in mixing.mix(df, shards=1, block_docs=3).collect()}
+    assert alone == {r.doc_id: r.copies for r in out}
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -408,6 +443,16 @@ def test_toxicity_separates_held_out_rows(spark):
     assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_toxicity_without_labels_of_both_classes_keeps_everything(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, None, "y"), (None, "c", "z")], "doc_id long, text string, score string")
+    for labels in ([], [(1, None)], [(1, 1), (2, 1)]):
+        known = spark.createDataFrame(labels, "doc_id long, toxic int")
+        out = toxicity.toxicity(df, known).collect()
+        assert all(r.score == 0 and r.predicted == 0 for r in out) and sorted(r.held_out for r in out if r.doc_id is None) == [True]
+        kept = toxicity.drop_toxic(df, known)
+        assert kept.count() == 3 and kept.columns == df.columns
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, toxic int")

@@ -2,13 +2,16 @@
 
 1. Targets: sources share the corpus by weight, no source above a multiple of its own size; a water level over the
    sources' size-to-weight ratios gives where the excess of the capped ones goes.
-2. Blocks: each source's documents are cut by hash into blocks of about `block_docs`. A source takes every block a whole
-   number of times and, in permuted order, the blocks of one more round; of the block where its target is met it takes
-   the largest documents that fit.
-3. Splitting tree: the taken block copies are halved again and again among the output shards, each half a uniform random
-   subset of its node's exact size, so that the sources' block quotas of a node split multivariate hypergeometrically.
-   Ranks within a node are prefix sums over hash ranges and ranks within a range; no task sees a whole node.
-4. The copies of a shard are disjoint by construction and are shuffled by hash within it.
+2. Blocks: each source's documents are cut by hash into blocks of about `block_docs`, and its blocks are permuted. A
+   source's quota is a number of block copies: every block a whole number of times and, in permuted order, the blocks of
+   one more round until its target is met; of the block in which that happens it takes the largest documents that fit.
+3. Splitting tree: from the root's quotas by source, every node of the tree sends half of its block copies to its left
+   child. How many of each source go is drawn multivariate hypergeometrically, source by source from the exact conditional
+   distribution, so that a node's quotas always sum to its size and both children's to the node's. The leaves are the
+   output shards.
+4. A shard draws from each source as many of the permuted copies as its leaf has quota, next to those of the shard before
+   it: draws are disjoint and cover the quota. What a document gives follows from the draws of its block; a shard's copies
+   are shuffled by hash within it.
 """
 
 from __future__ import annotations
@@ -43,31 +46,69 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return settled.select("source", "source_rank", "n_docs", "source_size", target.cast("double").alias("target"))
 
 
-def _rank(df: DataFrame, node: str, key: Column, ties: list[str]) -> DataFrame:
-    """df with `place`, the rank from 1 by key within node, and `members`: ranges of the key are ranked on their own."""
-    split = materialise(df.withColumn("__key", key).withColumn("__range", F.shiftrightunsigned("__key", 54)), "ranges")
-    counts = split.groupBy(node, "__range").agg(F.count("*").alias("__n"))
-    ordered = Window.partitionBy(node).orderBy("__range")
-    counts = counts.select(
-        node, "__range", (F.sum("__n").over(ordered) - F.col("__n")).alias("__base"), F.sum("__n").over(Window.partitionBy(node)).alias("members")
-    )
-    local = F.row_number().over(Window.partitionBy(node, "__range").orderBy("__key", *ties))
-    return split.withColumn("__local", local).join(counts, [node, "__range"]).withColumn("place", F.col("__base") + F.col("__local")).drop("__key", "__range", "__base", "__local")
+def _in_order(blocks: DataFrame, key: Column, ties: list[str]) -> DataFrame:
+    """blocks with `place`, the rank from 1 by key within its source, and `before`, the words of the blocks before it.
 
+    Ranges of the key are ranked on their own and shifted by the sums of the ranges before, at most 1024 a source; no task
+    sees all blocks of a source.
+    """
+    split = materialise(blocks.withColumn("key_", key).withColumn("range_", F.shiftrightunsigned("key_", 54)), "ranges")
+    sums = split.groupBy("source_rank", "range_").agg(F.count("*").alias("n_"), F.sum("words").alias("w_"))
+    ordered = Window.partitionBy("source_rank").orderBy("range_")
+    sums = sums.select("source_rank", "range_", (F.sum("n_").over(ordered) - F.col("n_")).alias("n_"), (F.sum("w_").over(ordered) - F.col("w_")).alias("w_"))
+    inner = Window.partitionBy("source_rank", "range_").orderBy("key_", *ties)
+    local = split.withColumn("place", F.row_number().over(inner)).withColumn("before", F.sum("words").over(inner) - F.col("words"))
+    both = local.join(sums, ["source_rank", "range_"])
+    return both.select(*blocks.columns, (F.col("n_") + F.col("place")).alias("place"), (F.col("w_") + F.col("before")).alias("before"))
 
-def split_tree(copies: DataFrame, shards: int, seed: int) -> DataFrame:
-    """copies with `shard`: log2(shards) rounds of exact halving. copies: source_rank, block, copy."""
-    out = copies.withColumn("shard", F.lit(0))
-    for level in range(max(0, shards - 1).bit_length()):
-        ranked = _rank(out, "shard", F.xxhash64("source_rank", "block", "copy", F.lit(seed + level)), ["source_rank", "block", "copy"])
-        upper = (F.col("place") * 2 > F.col("members") + F.pmod("shard", F.lit(2))).cast("int")
-        out = ranked.withColumn("shard", F.col("shard") * 2 + upper).drop("place", "members")
-    return out
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with the value, evaluated once, under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def quotas(copies: DataFrame) -> DataFrame:
-    """(shard, source_rank, blocks): how many blocks of each source a shard gets."""
-    return copies.groupBy("shard", "source_rank").agg(F.count("*").alias("blocks"))
+
+#: Logarithm of the ratio of the probabilities of k and k - 1; 0 for the least k.
+_RATIO = "if(k > p.low, ln((p.marked - k + 1) * (p.drawn - k + 1)) - ln(k * (p.total - p.marked - p.drawn + k)), 0D)"
+
+
+def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
+    """SQL for how many of `marked` items of `total` are among `drawn` of them, by inverting the distribution at u in [0, 1).
+
+    Probabilities follow from the mode by their ratios. Numbers further from it than 12 standard deviations and 60 are left
+    out: their probability is under 1e-16 (Bernstein's bound), the resolution of u.
+    """
+    given = f"struct(double({total}) as total, double({marked}) as marked, double({drawn}) as drawn, {u} as u, double({marked}) / greatest(double({total}), 1D) as share)"
+    around = """struct(
+        least(g.marked, g.drawn, greatest(0D, g.drawn - g.total + g.marked, double(floor((g.drawn + 1) * (g.marked + 1) / (g.total + 2))))) as mode,
+        12 * sqrt(g.drawn * g.share * (1 - g.share) * (g.total - g.drawn) / greatest(g.total - 1, 1D)) + 60 as reach)"""
+    bounds = """struct(g.total as total, g.marked as marked, g.drawn as drawn, g.u as u, bigint(m.mode) as mode,
+        bigint(ceil(greatest(0D, g.drawn - g.total + g.marked, m.mode - m.reach))) as low, bigint(floor(least(g.marked, g.drawn, m.mode + m.reach))) as high)"""
+    start = f"aggregate(sequence(p.low, p.mode), 0D, (s, k) -> s - {_RATIO})"
+    add = _let("l", f"s.log + {_RATIO}", "struct(l as log, s.sum + exp(l) as sum)")
+    whole = f"aggregate(sequence(p.low, p.high), struct(q as log, 0D as sum), (s, k) -> {add}).sum"
+    step = _let("l", f"s.log + {_RATIO}", "struct(l as log, s.sum + exp(l) as sum, if(s.sum <= w.bar, k, s.at) as at)")
+    pick = f"aggregate(sequence(p.low, p.high), struct(w.log as log, 0D as sum, p.low as at), (s, k) -> {step}).at"
+    found = _let("q", start, _let("w", f"struct(q as log, p.u * {whole} as bar)", pick))
+    return _let("g", given, _let("p", _let("m", around, bounds), found))
+
+
+def quota_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(shard, source_rank, quota): block quotas by source of the tree's leaves. quotas: source_rank, quota of the root.
+
+    A row is a node with one quota a source; shards are rounded up to a power of two. Of an odd number of copies the
+    children take the larger half in turn.
+    """
+    own = "sort_array(collect_list(struct(source_rank, bigint(quota) as quota)))"
+    nodes = quotas.groupBy().agg(F.expr(own).alias("q")).select(F.lit(0).alias("node"), "q")
+    for level in range(max(0, shards - 1).bit_length()):
+        noise = f"shiftrightunsigned(xxhash64({seed}, {level}, node, x.source_rank), 11) / {float(1 << 53)}D"
+        keep = "struct(s.total - x.quota as total, s.half - n as half, concat(s.drawn, array(n)) as drawn)"
+        draw = _let("n", hypergeometric("s.total", "x.quota", "s.half", noise), keep)
+        begin = _let("t", "aggregate(q, 0L, (s, x) -> s + x.quota)", "struct(t as total, bigint(floor((t + node % 2) / 2)) as half, cast(array() as array<bigint>) as drawn)")
+        nodes = nodes.select("node", "q", F.expr(f"aggregate(q, {begin}, (s, x) -> {draw}).drawn").alias("drawn"))
+        left, right = (f"zip_with(q, drawn, (x, n) -> struct(x.source_rank as source_rank, {rest} as quota))" for rest in ("n", "x.quota - n"))
+        nodes = nodes.select(F.expr(f"inline(array(struct(node * 2 as node, {left} as q), struct(node * 2 + 1 as node, {right} as q)))"))
+    return nodes.select(F.col("node").alias("shard"), F.inline("q"))
 
 
 def _last_block(placed: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -125,17 +166,24 @@ def _deal(docs: DataFrame, keys: list[str], weights: tuple[int, ...], most: int,
     placed = materialise(placed.withColumn("nr", F.row_number().over(inside)), "placed")
 
     blocks = placed.groupBy("source_rank", "block").agg(F.sum("size").alias("words"), F.max("whole").alias("whole"), F.max("rest").alias("rest"))
-    permuted = Window.partitionBy("source_rank").orderBy(F.xxhash64("source_rank", "block", F.lit(seed + 2)), "block")
-    blocks = materialise(blocks.withColumn("before", F.sum("words").over(permuted) - F.col("words")), "blocks")
+    blocks = materialise(_in_order(blocks, F.xxhash64("source_rank", "block", F.lit(seed + 2)), ["block"]), "blocks")
+    root = blocks.groupBy("source_rank").agg(F.count("*").alias("n"), F.max("whole").alias("whole"), F.count_if(F.col("before") < F.col("rest")).alias("last"))
+    leaves = materialise(quota_tree(root.select("source_rank", (F.col("n") * F.col("whole") + F.col("last")).alias("quota")), shards, seed + 3), "leaves")
+    # Of a source's permuted copies, shard i draws those after the i-th of `ends` up to the next one. A row for each source.
+    upto = F.sum("quota").over(Window.partitionBy("source_rank").orderBy("shard"))
+    ends = leaves.withColumn("upto", upto).groupBy("source_rank").agg(F.sort_array(F.collect_list(F.struct("shard", "upto"))).getField("upto").alias("ends"))
+    ends = materialise(root.select("source_rank", F.col("n").alias("n_blocks")).join(ends, "source_rank"), "ends")
     times = F.col("whole") + (F.col("before") < F.col("rest")).cast("int")
-    copies = blocks.where(times > 0).select("source_rank", "block", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
-    dealt = split_tree(copies, shards, seed + 3)
-    lists = dealt.groupBy("source_rank", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).getField("shard").alias("shards"))
-    block = blocks.select("source_rank", "block", (F.col("before") + F.col("words") <= F.col("rest")).alias("more")).join(lists, ["source_rank", "block"], "left")
+    drawn_by = lambda copy: F.size(F.filter("ends", lambda e: e < (copy - 1) * F.col("n_blocks") + F.col("place")))
+    drawn = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), drawn_by), lambda s: s < F.size("ends"))
+    block = blocks.join(ends, "source_rank").select(
+        "source_rank", "block", (F.col("before") + F.col("words") <= F.col("rest")).alias("more"), drawn.alias("shards")
+    )
 
     taken = placed.join(block, ["source_rank", "block"]).join(_last_block(placed, blocks), ["source_rank", "block", "nr"], "left")
-    extra = (F.col("rest") > 0) & (F.col("more") | F.coalesce("fits", F.lit(False)))
-    taken = taken.withColumn("copies", F.col("whole") + extra.cast("int"))
+    # Of the last block's last copy only the documents that fit are taken; of all other drawn copies every document is.
+    fitting = F.when(F.col("more") | (F.col("rest") <= 0) | (F.size("shards") <= F.col("whole")), 0).otherwise(F.when(F.coalesce("fits", F.lit(False)), 0).otherwise(1))
+    taken = taken.withColumn("copies", F.size("shards") - fitting)
     return taken.select(
         *keys,
         "doc_id",
@@ -144,7 +192,7 @@ def _deal(docs: DataFrame, keys: list[str], weights: tuple[int, ...], most: int,
         "target",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         "copies",
-        F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, F.col("copies")).alias("shards"),
+        F.slice("shards", 1, F.col("copies")).alias("shards"),
     )
 
 
@@ -154,14 +202,14 @@ def draw(
     """The mix itself: docs' columns and `shard`, a row for each copy, in shuffled order within each shard.
 
     Rows get a key of their own, so null and repeated ids are dealt like others; copies keep their id. A column `shard`
-    of docs is replaced.
+    of docs is replaced; an empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c != "shard"]
     content = F.xxhash64("doc_id", "source", "text")
     rows = materialise(docs.select(*columns).withColumn("__content", content).withColumn("__row", F.monotonically_increasing_id()), "rows")
     dealt = _deal(rows, ["__content", "__row"], weights, most, shards, block_docs, seed)
-    chosen = dealt.where("copies > 0").select("__row", F.posexplode("shards").alias("copy", "shard"))
-    order = F.xxhash64("__content", "copy", "shard", F.lit(seed))
+    chosen = dealt.where("copies > 0").select("__row", F.posexplode("shards").alias("__copy", "shard"))
+    order = F.xxhash64("__content", "__copy", "shard", F.lit(seed))
     drawn = rows.join(chosen, "__row").withColumn("__order", order)
     place = ["shard", "__order", "__row"]
     return drawn.repartitionByRange(*place).sortWithinPartitions(*place).select(*columns, "shard")
