@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """ASCII-lowered words of the contract: runs of anything but space and \\x09-\\x0D, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: A key is hot if more than this part of all rows, and more than 1,000 rows, have it; so at most this many keys are hot.
+HOT_PART = 1000
+
+
+def hot_bar(rows: int) -> int:
+    """Number of rows above which a key of a table of `rows` rows is hot; at most HOT_PART keys can be."""
+    return max(1000, rows // HOT_PART)
+
+
+def hot_keys(many: DataFrame, key: str, rows: int) -> DataFrame:
+    """The hot keys of many, HOT_PART at most, one row each; counted with a partial aggregation before the shuffle."""
+    return many.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_bar(rows)).select(key)
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """many inner-joined with `one`, which has one narrow row for each key.
+
+    Rows of hot keys stay where they are and meet a broadcast of these keys' rows, at most HOT_PART; the others are
+    shuffled. Both inputs are read more than once, so they should be written tables.
+    """
+    few = one.join(F.broadcast(hot), key, "left_semi")
+    cold = many.join(F.broadcast(hot), key, "left_anti")
+    return many.join(F.broadcast(few), key).unionByName(cold.join(one, key))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,9 +89,10 @@ def _slices(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 
 
 def word_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word fingerprints, word offsets by row) for runs of rows; words as in words_of, nulls have none.
+    """(first row, word fingerprints, word offsets by row) for runs of rows; words are runs of anything but space and \\x09-\\x0D, A-Z lower-cased; nulls have none.
 
-    A word's fingerprint is the sum over its bytes of one random number for the byte times one for the place.
+    A word's fingerprint is the sum over its bytes of one random number for the byte times one for the place, and then mixed:
+    two different words have the same one with a chance of about 2**-64.
     """
     texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

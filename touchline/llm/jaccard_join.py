@@ -11,16 +11,20 @@ A document's set holds its distinct k-word shingles as 64-bit fingerprints. Docu
 * The boundary minimises the number of postings, counted over the sizes of all sets.
 
 Lists are not expanded into pairs. Postings are sorted by (key, node) over all partitions, a list may span several, and
-each member is proposed with the first and the previous member of its list only. Proposals are verified on the words
-themselves. The members of lists whose proposals left them in more than one component are then matched once more by their
-rarest shingles, counted over these members, and pairs from different components are verified. So no link between
-components is lost, and a large group of near copies costs about as many verifications as it has members.
+each member is proposed with the first and the previous member of its list only. Proposals are verified on the shingle
+sets of the whole texts. The members of lists whose proposals left them in more than one component are then matched once
+more by scanning inverted lists of their rarest shingles, counted over these members, and pairs from different components
+are verified. So no link between components is lost, and a large group of near copies costs about as many verifications as
+it has members.
+
+Sets hold 64-bit fingerprints of shingles, made from 64-bit fingerprints of words. A set's size is wrong only if two of
+its own shingles collide, a link only if shingles of the two sets do: a chance of about n * n / 2**64 for sets of n
+shingles, 2e-11 for 20,000. Sets count as equal by a 128-bit digest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 from math import comb, exp, sqrt
 
@@ -31,12 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import materialise, mix, shingle_slices, words_of
+from touchline.llm.common import hot_keys, materialise, mix, shingle_slices, split_join
 from touchline.llm.components import connected_components
 
-#: Sets above this size are never enumerated: a set of 40 already has over 90,000 subsets of the size needed at 0.9.
-SMALL_CAP = 40
-
 
 class Sizes:
     """Size arithmetic of a Jaccard threshold num/den."""
@@ -90,16 +91,22 @@ class Sizes:
         j = self.interval(n)
         return self.blocks(j) + self.blocks(j + 1)
 
-    def boundary(self, histogram: dict[int, int]) -> int:
-        """The size from which inverted lists take over, by the number of postings. histogram: sets of each size up to SMALL_CAP + 1."""
+    def boundary(self, histogram: dict[int, int], upto: int, largest: int) -> int | None:
+        """The size from which inverted lists take over, by the number of postings; None if sizes above `upto` matter.
+
+        histogram: sets of each size up to `upto`. A larger boundary enumerates more sets and more subsets of each, so the
+        search ends where subsets alone cost more than the best boundary's postings; the lists of larger sets cost the
+        same whatever the boundary. largest: size of the largest set.
+        """
         best = None
-        for x in range(1, SMALL_CAP + 2):
-            cost = sum(
-                count * ((self.n_subsets(n, x) if n < x else 0) + (self.n_blocks(n) if self.partner(n) >= x else 0))
-                for n, count in histogram.items()
-            )
-            if best is None or cost < best[0]:
-                best = (cost, x)
+        for x in range(1, largest + 2):
+            if self.partner(x) > upto and upto < largest:
+                return None
+            small = sum(count * self.n_subsets(n, x) for n, count in histogram.items() if n < x)
+            if best is not None and small > best[0]:
+                break
+            cost = small + sum(count * self.n_blocks(n) for n, count in histogram.items() if self.partner(n) >= x)
+            best = (cost, x) if best is None or cost < best[0] else best
         return best[1]
 
 
@@ -203,82 +210,117 @@ def postings(docs: DataFrame, k: int, num: int, den: int, boundary: int, text_co
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, s1 long")
 
 
+_PROPOSAL, _EDGE, _LONG = 0, 1, 2
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by key and node: (key, a, b) for each member b with the list's first and previous member as a.
+    """Of postings sorted by key and node: (key, a, b, mark) for each member b with the list's first and previous member as a.
 
-    The first node of the partition's first and last list comes out with a null, to tie parts of a list together.
+    Marked rows have a null b: the first node of the partition's first and last list, to tie parts of a list together, and
+    the fourth member of a list, which shows that proposals are not all of its pairs.
     """
-    names = ["key", "a", "b"]
+    names = ["key", "a", "b", "mark"]
+
+    def edge(k: int, node: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([node]), pa.array([None], pa.int64()), pa.array([_EDGE], pa.int32())], names)
+
     key = head = last = first_key = None
+    done = 0
     for batch in batches:
         k, s = (batch.column(i).to_numpy() for i in (0, 1))
         if not len(k):
             continue
         if first_key is None:
             first_key = int(k[0])
-            yield pa.RecordBatch.from_arrays([pa.array([first_key]), pa.array([int(s[0])]), pa.array([None], pa.int64())], names)
+            yield edge(first_key, int(s[0]))
         joined = key is not None and int(k[0]) == key
         if joined:
             k, s = np.concatenate([[key], k]), np.concatenate([[last], s])
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        heads = s[starts].copy()
+        lengths = np.diff(np.append(starts, len(k)))
+        heads, before = s[starts].copy(), np.zeros(len(starts), np.int64)
         if joined:
-            heads[0] = head
-        of = np.repeat(heads, np.diff(np.append(starts, len(k))))
+            heads[0], before[0] = head, done - 1
+        of = np.repeat(heads, lengths)
+        place = np.arange(len(k)) - np.repeat(starts - before, lengths)
         follows = np.concatenate([[False], k[1:] == k[:-1]])
         previous = np.concatenate([[0], s[:-1]])
         near = follows & (previous != s)
         far = near & (of != previous) & (of != s)
-        out_k, out_a, out_b = (np.concatenate([x[near], x2[far]]) for x, x2 in ((k, k), (previous, of), (s, s)))
-        if len(out_k):
-            yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_a), pa.array(out_b)], names)
-        key, head, last = int(k[-1]), int(heads[-1]), int(s[-1])
+        long = follows & (place == 3)
+        out = [np.concatenate(x) for x in ((k[near], k[far], k[long]), (previous[near], of[far], s[long]), (s[near], s[far], s[long]))]
+        if len(out[0]):
+            marks = np.repeat([_PROPOSAL, _LONG], [near.sum() + far.sum(), long.sum()]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], mask=marks == _LONG), pa.array(marks)], names)
+        key, head, last, done = int(k[-1]), int(heads[-1]), int(s[-1]), int(place[-1]) + 1
     if key is not None and key != first_key:
-        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([head]), pa.array([None], pa.int64())], names)
+        yield edge(key, head)
+
 
+def _may_link(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs without those whose parity vectors differ in more bits than linked sets have elements apart.
 
-def _may_link(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) without those whose parity vectors differ in more bits than linked sets have elements apart."""
+    pairs: a, b, rep_a, rep_b, n_a, n_b, parity_a, parity_b; the result has the first four.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (den - num)
+            most = (batch.column(4).to_numpy() + batch.column(5).to_numpy()) * (den - num)
             good = []
-            for limit, x, y in zip(most, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                x, y = (np.frombuffer(v, np.uint8) for v in (x, y))
+            for limit, x, y in zip(most, batch.column(6), batch.column(7), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
                 while len(x) != len(y):
                     x, y = (x, y) if len(x) > len(y) else (y, x)
                     x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                 good.append(int(np.bitwise_count(x ^ y).sum()) * (num + den) <= limit)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "rep_a", "rep_b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = (signs.where("s1 is not null").select(F.col("id").alias(c), F.col("parity").alias(f"parity_{c}")) for c in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    columns = ["a", "b", "rep_a", "rep_b", "n_a", "n_b", "parity_a", "parity_b"]
+    return pairs.select(*columns).mapInArrow(run, "a long, b long, rep_a long, rep_b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, as words, reach the threshold. texts: id, text."""
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(rep_a, rep_b) of the pairs whose shingle sets reach the threshold. pairs: a, b, rep_a, rep_b; docs: id, text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(maxsize=64)
-        def shingles(text: str) -> frozenset:
-            w = words_of(text)
-            span = min(k, len(w))
-            return frozenset(zip(*(w[j : len(w) - span + 1 + j] for j in range(span)), strict=True)) if w else frozenset()
+    A pair's second text travels to its first one, which comes once for all its pairs, but for hot ones once for each of
+    about sqrt(pairs) parts. A task holds one set at a time and streams the others past it.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_part, center = None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            good = []
-            for i in range(len(a)):
-                x, y = shingles(ta[i]), shingles(tb[i])
-                same = len(x & y)
-                good.append(same > 0 and den * same >= num * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            a, part, b, node, rep_a, rep_b = (batch.column(i).to_pylist() for i in range(6))
+            good: list[int] = []
+            for first, e, at in shingle_slices(batch.column(6), k):
+                digest = _set_digests(e, at)[:, 0]
+                for i in range(len(at) - 1):
+                    row, mine = first + i, e[at[i] : at[i + 1]]
+                    # An id that rows with different texts share brings these along; only the node's own counts.
+                    if digest[i] != node[row]:
+                        continue
+                    if b[row] is None:
+                        at_part, center = (a[row], part[row]), mine.copy()
+                    elif at_part == (a[row], part[row]):
+                        found = np.searchsorted(center, mine)
+                        same = int((center[np.minimum(found, len(center) - 1)] == mine).sum())
+                        if same and den * same >= num * (len(center) + len(mine) - same):
+                            good.append(row)
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array([rep_a[i] for i in good], pa.int64()), pa.array([rep_b[i] for i in good], pa.int64())], ["a", "b"])
+
+    size = pairs.count()
+    heads = materialise(pairs.groupBy("a", "rep_a").agg(F.ceil(F.sqrt(F.count("*")) / 4).cast("long").alias("parts")), "heads")
+    parted = split_join(pairs, heads.select("a", "parts"), "a", hot_keys(pairs, "a", size))
+    members = parted.select(F.col("rep_b").alias("id"), F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b", "rep_a", "rep_b")
+    centers = heads.select(
+        F.col("rep_a").alias("id"), F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+        F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("rep_a"), F.lit(None).cast("long").alias("rep_b"),
+    )
+    asked = materialise(members.unionByName(centers), "asked")
+    wanted = docs.join(asked.select("id").distinct(), "id", "left_semi")
+    placed = wanted.join(asked, "id").select("a", "part", "b", "node", "rep_a", "rep_b", "text")
+    together = placed.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return together.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,59 +331,56 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     null id takes no part and has a null component. Other columns are ignored. An empty table gives an empty result.
     """
     signs = materialise(set_signatures(docs, k, id_col, text_col), "sets")
-    nodes = materialise(
-        signs.where("s1 is not null and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n")), "nodes"
-    )
-    counts = nodes.where(F.col("n") <= SMALL_CAP + 1).groupBy("n").count().collect()  # at most SMALL_CAP + 1 rows
-    sizes = Sizes(num, den)
-    boundary = sizes.boundary({r["n"]: r["count"] for r in counts})
-
+    full = signs.where("s1 is not null and id is not null")
+    groups = full.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"))
+    own = full.select(F.col("id").alias("rep"), "s1", "s2", "parity").distinct()
+    nodes = materialise(groups.join(own, ["rep", "s1", "s2"]).select("s1", "s2", "rep", "n", "parity"), "nodes")
+    sizes, upto, boundary = Sizes(num, den), 32, None
+    largest = nodes.agg(F.max("n")).first()[0] or 0
+    while boundary is None:
+        upto *= 2
+        counts = nodes.where(F.col("n") <= upto).groupBy("n").count().collect()  # at most `upto` rows
+        boundary = sizes.boundary({r["n"]: r["count"] for r in counts}, upto, largest)
     lists = postings(docs.where(F.col(id_col).isNotNull()), k, num, den, boundary, text_col)
     ordered = lists.repartitionByRange("key", "s1").sortWithinPartitions("key", "s1")
-    scanned = materialise(ordered.mapInArrow(_scan, "key long, a long, b long"), "lists")
-    parts = scanned.where("b is null").select("key", F.col("a").alias("b")).distinct()
+    scanned = materialise(ordered.mapInArrow(_scan, "key long, a long, b long, mark int"), "lists")
+    parts = scanned.where(F.col("mark") == _EDGE).select("key", F.col("a").alias("b")).distinct()
     ties = parts.join(parts.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "key").where("a <> b")
-    proposed = scanned.where("b is not null").unionByName(ties)
+    proposed = scanned.where(F.col("mark") == _PROPOSAL).select("key", "a", "b").unionByName(ties.select("key", "a", "b"))
 
-    reps = nodes.select("s1", "rep", "n")
-    a_side, b_side = (reps.toDF(c, f"rep_{c}", f"n_{c}") for c in "ab")
+    # Lists are sorted by node, so a < b in every proposal and a list's first node is the a of many.
+    tried = materialise(proposed.select("a", "b").distinct(), "tried")
+    n_tried = tried.count()
+    hubs = materialise(hot_keys(tried, "a", n_tried), "hubs")
+    a_side, b_side = (nodes.select(F.col("s1").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
     near = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    pairs = materialise(
-        proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(a_side, "a")
-        .join(b_side, "b")
-        .where(near & F.expr("rep_a <> rep_b"))
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b"),
-        "pairs",
-    )
+    pairs = split_join(tried, a_side, "a", hubs).join(b_side, "b").where(near & F.expr("rep_a <> rep_b"))
     # Texts travel only for pairs that their parity vectors don't rule out.
-    close = materialise(_may_link(pairs, signs, num, den), "close")
-    wanted = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
+    close = materialise(_may_link(pairs, num, den), "close")
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialise(whole.join(wanted, "id", "left_semi"), "texts")
-    links = materialise(_verified(close, texts, k, num, den), "links")
+    links = materialise(_verified(close, whole, k, num, den), "links")
     found = connected_components(links)
 
     # Lists that their proposals left in several components: pairs of members across components that can link are verified.
-    home = reps.join(found, reps["rep"] == found["node"], "left").select("s1", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    home = nodes.join(found, nodes["rep"] == found["node"], "left").select("s1", "rep", "n", F.coalesce("component", "rep").alias("component"))
     home = materialise(home, "homes")
-    ha, hb = (home.toDF(c, f"rep_{c}", f"n_{c}", f"comp_{c}") for c in "ab")
-    torn = proposed.join(ha, "a").join(hb, "b").where(F.expr("comp_a <> comp_b")).select("key").distinct()
-    members = proposed.join(torn, "key", "left_semi")
-    members = members.select("key", F.col("a").alias("s1")).unionByName(members.select("key", F.col("b").alias("s1"))).distinct()
+    ha, hb = (home.select(F.col("s1").alias(c), F.col("component").alias(f"comp_{c}")) for c in "ab")
+    apart = split_join(tried, ha, "a", hubs).join(hb, "b").where("comp_a <> comp_b").select("a", "b")
     # The proposals of a list of three are all its pairs, unless it lies in several partitions.
-    long = members.groupBy("key").count().where("count > 3").select("key").unionByName(ties.select("key")).distinct()
-    suspects = members.join(long, "key", "left_semi").select("s1").distinct().join(home, "s1").select(F.col("rep").alias("id"), "n", "component").distinct()
-    suspects = materialise(whole.join(suspects, "id"), "suspects")
-    rest = _rare_first_pairs(suspects, k, num, den)
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, suspects.select("id", "text"), k, num, den)
+    long = scanned.where(F.col("mark") == _LONG).select("key").unionByName(ties.select("key")).distinct()
+    torn = materialise(proposed.join(apart, ["a", "b"]).select("key").distinct().join(long, "key"), "torn")
+    members = split_join(proposed, torn, "key", hot_keys(proposed, "key", n_tried))
+    members = members.select(F.col("a").alias("s1")).unionByName(members.select(F.col("b").alias("s1"))).distinct()
+    suspects = materialise(members.join(home, "s1"), "suspects")
+    rest = _rare_first_pairs(suspects, whole, k, num, den)
+    rest = rest.join(tried, ["a", "b"], "left_anti")
+    ra, rb = (home.select(F.col("s1").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+    rest = materialise(rest.join(ra, "a").join(rb, "b").where("rep_a <> rep_b"), "rest")
+    more = _verified(rest, whole, k, num, den)
 
     # Ids that rows with different sets share tie those sets together.
-    own = signs.where("s1 is not null and id is not null").join(nodes.select("s1", "s2", "rep"), ["s1", "s2"])
-    shared = own.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    own = full.join(nodes.select("s1", "s2", "rep"), (full["s1"] == nodes["s1"]) & (full["s2"] == nodes["s2"]) & (full["id"] != nodes["rep"]))
+    shared = own.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     component = connected_components(links.unionByName(more).unionByName(shared))
     return (
         signs.join(component, signs["id"] == component["node"], "left")
@@ -349,48 +388,57 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     )
 
 
-def _rare_first_pairs(suspects: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) of all suspects of different components that can link, by the rarest shingles among the suspects.
+def _rare_first_pairs(suspects: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of all suspect nodes of different components that can link, by the rarest shingles among the suspects.
 
     Linked sets share one of each set's n - ceil(t n) + 1 rarest shingles, and no shingle that only one suspect has, so a
     near copy with many edits of its own proposes nothing. A pair's first common shingle leaves enough after it in both, its
-reach, for the link. In each list the members of the component with most members
-    are paired with the others, never among themselves. suspects: id, text, n, component.
+    reach, for the link. In each list the members of the component with most members are paired with the others, never
+    among themselves, and long lists in parts. suspects: s1, rep, n, component; docs: id, text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            node = batch.column(0).to_numpy()
             for first, e, at in shingle_slices(batch.column(1), k):
-                row = pa.array(np.repeat(np.arange(first, first + len(at) - 1), np.diff(at)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(e.view(np.int64))], ["id", "shingle"])
+                mine = node[first : first + len(at) - 1]
+                good = _set_digests(e, at)[:, 0] == mine
+                n = np.diff(at)
+                kept = np.repeat(good, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, n)[kept]), pa.array(e[kept].view(np.int64))], ["s1", "shingle"])
 
-    elements = suspects.select("id", "text").mapInArrow(run, "id long, shingle long")
-    elements = materialise(elements, "elements")
+    texts = docs.join(suspects.select(F.col("rep").alias("id"), "s1"), "id").select("s1", "text").dropDuplicates()
+    elements = materialise(texts.mapInArrow(run, "s1 long, shingle long"), "elements")
     common = elements.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("id")
+    own = Window.partitionBy("s1")
     ranked = elements.join(common, "shingle").select(
-        "id", "shingle", F.count("*").over(own).alias("shared"), F.row_number().over(own.orderBy("df", "shingle")).alias("place")
+        "s1", "shingle", F.count("*").over(own).alias("shared"), F.row_number().over(own.orderBy("df", "shingle")).alias("place")
     )
-    kept = ranked.join(suspects.select("id", "n", "component"), "id").where(f"n - shared + place <= n - (n * {num} + {den - 1}) div {den} + 1")
-    kept = materialise(kept.select("shingle", "id", "n", "component", (F.col("shared") - F.col("place") + 1).alias("reach")), "rare")
+    kept = ranked.join(suspects.select("s1", "n", "component"), "s1").where(f"n - shared + place <= n - (n * {num} + {den - 1}) div {den} + 1")
+    kept = materialise(kept.select("shingle", "s1", "n", "component", (F.col("shared") - F.col("place") + 1).alias("reach")), "rare")
     most = (
         kept.groupBy("shingle", "component")
         .agg(F.count("*").alias("c"))
         .groupBy("shingle")
-        .agg(F.max(F.struct("c", "component")).getField("component").alias("major"), F.count("*").alias("components"))
+        .agg(F.max(F.struct("c", "component")).getField("component").alias("major"), F.count("*").alias("components"), F.ceil(F.sum("c") / 500).alias("parts"))
         .where("components > 1")
     )
     lists = kept.join(most.drop("components"), "shingle")
-    a, b = (lists.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("id", "n", "component", "reach")), (F.col("component") == F.col("major")).alias(f"major_{c}")) for c in "ab")
-    possible = f"""component_a <> component_b and (major_b or id_a < id_b)
+    a, b = (lists.select("shingle", "parts", *(F.col(x).alias(f"{x}_{c}") for x in ("s1", "n", "component", "reach")), (F.col("component") == F.col("major")).alias(f"major_{c}")) for c in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("s1_a"), F.col("parts"))).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
+    possible = f"""component_a <> component_b and (major_b or s1_a < s1_b)
         and least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}
         and least(reach_a, reach_b) * {num + den} >= {num} * (n_a + n_b)"""
-    pairs = a.where("not major_a").join(b, "shingle").where(possible)
-    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    pairs = a.where("not major_a").join(b, ["shingle", "part"]).where(possible)
+    return pairs.select(F.least("s1_a", "s1_b").alias("a"), F.greatest("s1_a", "s1_b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Documents without those that another document of their group, with a smaller id, represents."""
+    """Documents without those that another document of their group, with a smaller id, represents.
+
+    Rows with a null id and rows that repeat a kept id stay, columns are kept as they are, an empty table stays empty.
+    """
     found = jaccard_components(docs, k, num, den)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
