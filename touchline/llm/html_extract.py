@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import materialise
 
-_RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|select|button|object|canvas|audio|video|xmp|noembed|noframes"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![\w-])(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)",
-    re.S | re.I,
-)
+#: Elements whose content up to their end tag is not text. Of the first kind an end tag may be missing, and the rest of the
+#: page is theirs; the others are then only tags.
+_RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+_CLOSED = frozenset("svg math select button object canvas audio video".split())
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: A tag's rest: quotes count only as attribute values, an unclosed one is a character like others.
+_QUOTED = re.compile(r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,10 +49,24 @@ _MARKS = frozenset(
     "header hidden masthead menu menus modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion recommended related "
     "replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toc toolbar widget widgets".split()
 )
+#: Words that may stand beside a mark in a class name without making it the name of a topic; fixed values.
+_NEUTRAL = frozenset(
+    "area bar block body bottom box center container content desktop field form global group holder home inner item items left link links list main "
+    "mobile module outer page panel post primary right root row secondary section site slot space sticky text top unit wrap wrapper zone".split()
+)
 _MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _is_mark(name: str) -> bool:
+    """Whether a class name or id marks its part: a mark word with nothing but mark, neutral or numbering words beside it.
+
+    `ad-box` and `site-footer` do; `related-work` and `social-history` name a topic and don't.
+    """
+    words = [w.lower() for w in _MARK_WORD.findall(name)]
+    return any(w in _MARKS for w in words) and all(w in _MARKS or w in _NEUTRAL or len(w) < 3 for w in words)
+
+
 def _kind(tag: str, attributes: str) -> tuple[str, bool]:
     """(name of the place, whether it is apart from the main text) of an element."""
     name, apart = tag, tag in _DROPPED
@@ -59,7 +74,7 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool]:
         what, value = a[1].lower(), a[2] or a[3] or a[4] or ""
         if what in ("class", "id"):
             name += ("." if what == "class" else "#") + " ".join(value.split())
-            apart = apart or any(w.lower() in _MARKS for w in _MARK_WORD.findall(value))
+            apart = apart or any(map(_is_mark, value.split()))
         elif what == "role":
             apart = apart or value.strip().lower() in _ROLES
         elif what == "hidden" or (what == "aria-hidden" and value.strip().lower() == "true"):
@@ -69,6 +84,55 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool]:
     return name, apart
 
 
+def scan(page: str) -> Iterator[tuple[str | None, str, bool, str]]:
+    """(text, tag, whether it is an end tag, attributes) of a page, in time linear in its length.
+
+    Comments, declarations and the content of elements without text are left out. What is behind the last `>` is text. If a
+    tag runs to the end of the page by its quotes, quotes are no longer looked at.
+    """
+    at, end, quotes, ends = 0, page.rfind(">") + 1, True, {}
+    lower = page.lower() if "</" in page else page
+    if len(lower) != len(page):
+        lower = page
+    while at < end:
+        lt = page.find("<", at, end)
+        if lt < 0:
+            break
+        if lt > at:
+            yield page[at:lt], "", False, ""
+        if page.startswith("<!--", lt):
+            stop = page.find("-->", lt + 4)
+            if stop < 0:
+                return
+            at = stop + 3
+            continue
+        name = _NAME.match(page, lt + 1)
+        if name is None:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                at = page.find(">", lt) + 1 or end
+            else:
+                yield "<", "", False, ""
+                at = lt + 1
+            continue
+        rest = _QUOTED.match(page, name.end()) if quotes else None
+        quotes = rest is not None
+        stop = rest.end() if rest else page.find(">", name.end()) + 1
+        if not stop:
+            break
+        at, tag = stop, name[2].lower()
+        if not name[1] and (tag in _RAW or tag in _CLOSED):
+            if ends.get(tag, 0) >= 0 and ends.get(tag, 0) < at:
+                ends[tag] = lower.find(f"</{tag}", at)
+            if ends[tag] >= 0:
+                at = page.find(">", ends[tag]) + 1 or len(page)
+                continue
+            if tag in _RAW:
+                return
+        yield None, tag, bool(name[1]), page[name.end() : stop - 1]
+    if at < len(page):
+        yield page[max(at, 0) :], "", False, ""
+
+
 def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
     """(path, text, in the article, apart, heading, share of link text) of each block of a page, and of each place ('', path) opened.
 
@@ -88,17 +152,12 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
                 yield path, text, article, apart or (header and not heading), heading, min(1.0, linked / max(1, len(raw)))
             parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        text = m[8]
+    for text, tag, ends, attributes in scan(page):
         if text is not None:
             parts.append(text)
             if anchor:
                 linked += len(text)
             continue
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            continue
-        ends = bool(m[2] or m[5])
         if tag in _INLINE:
             if tag == "a":
                 anchor = 0 if ends else 1
@@ -116,7 +175,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
                 del stack[at:]
                 anchor, heading = 0, False
             continue
-        name, apart = _kind(tag, m[4] or m[7] or "")
+        name, apart = _kind(tag, attributes)
         _, path, article, above, header = stack[-1]
         if tag == "body":
             apart, above = False, False
