@@ -344,6 +344,8 @@ def test_warc_round_trip_and_salvage(spark):
         raw = (body or "").encode()
         assert (out[page].payload_bytes, out[page].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
     assert [(p, r.record_type, r.refers_to) for p, r in sorted(out.items()) if r.record_type == "revisit"] == [(2, "revisit", 1)]
+    twice = spark.createDataFrame([(1, "a" * 200, "x"), (1, "b" * 500, "y"), (2, "a" * 200, "z")], "page_id long, html string, url string")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.archive_pages(twice).collect()) == [(1, 200, "response"), (1, 500, "response"), (2, 200, "revisit")]
     members = [gzip.compress(warc.encode_record(i, "u", b"body %d" % i, "d", None, False)) for i in range(4)]
     broken = members[0] + members[1][:25] + b"junk" + members[2] + members[3]
     found = list(warc.salvage(broken))
@@ -395,6 +397,22 @@ def test_html_main_text(spark):
     assert out[2].text == out[3].text == "" and len(out) == 4
 
 
+def test_html_scan_is_linear_and_keeps_broken_markup():
+    import time
+
+    n = 100_000
+    broken = ["<a" * n, '<a ="> ' * n, '<a =" > ="' * n, "<b '>\"" * n, "<" * n, "<!" * n, "<button>" * n, "<!--" * n, '<p class="' * n]
+    for page in [*broken, *(x + ">" for x in broken)]:
+        start = time.time()
+        list(html_extract.blocks(page))
+        assert time.time() - start < 5, page[:20]
+    text = lambda page: [b[1] for b in html_extract.blocks(page) if b[1]]
+    assert text("<p>a < b<p>c<") == ["a < b", "c<"] and text('<p title="x>y">a</p>b') == ["a", "b"]
+    assert text("<p>a<button>b<p>c") == ["a", "b", "c"] and text("a<SCRIPT>x</b></Script >b<title>t</title>c<!-- d --><?e?>f") == ["abcf"]
+    for name, mark in (("ad", 1), ("ad-box", 1), ("siteFooter", 1), ("related-work", 0), ("social-history", 0), ("comments", 1), ("adventure", 0), ("col-8", 0)):
+        assert html_extract._is_mark(name) == bool(mark)
+
+
 def test_html_wording_that_a_host_repeats_in_its_articles(spark):
     def page(i):
         advert = "<p>Buy the blue lamp now</p>" if i % 3 else ""

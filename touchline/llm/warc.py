@@ -183,16 +183,17 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
 
     Of a damaged member the content is what inflates before the damage.
     """
-    z, view, pos, parts = zlib.decompressobj(31), memoryview(data), at, []
+    z, view, pos, step, parts = zlib.decompressobj(31), memoryview(data), at, 2048, []
     try:
         while not z.eof and pos < len(data):
-            parts.append(z.decompress(view[pos : pos + _CHUNK]))
-            pos += _CHUNK
+            # Small members end in a short chunk, so that zlib copies little of what follows them.
+            parts.append(z.decompress(view[pos : pos + step]))
+            pos, step = pos + step, min(2 * step, _CHUNK)
     except zlib.error as e:
         again = zlib.decompressobj(31)
         again.decompress(view[at:pos])
         try:
-            for i in range(pos, min(pos + _CHUNK, len(data))):
+            for i in range(pos, min(pos + step, len(data))):
                 parts.append(again.decompress(view[i : i + 1]))
         except zlib.error:
             pass
@@ -295,7 +296,8 @@ def read_archives(files: DataFrame, keep_payload: bool = True) -> DataFrame:
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write pages to archives and read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    payload_bytes of a revisit is the size of the payload it refers to, looked up among the responses read. A gap in
+    payload_bytes of a revisit is the size of the payload it refers to, looked up by page and digest among the responses
+    read, as rows may repeat a page_id. A gap in
     archives just written is an error. An empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
@@ -305,8 +307,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     read = materialise(read_archives(files, keep_payload=False), "records")
     if read.where("kind = 'gap'").limit(1).count():
         raise ValueError(f"archives in {folder} have damaged records")
-    targets = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("target")).agg(F.max("payload_bytes").alias("target_bytes"))
-    sizes = read.where("record_type = 'revisit'").select(F.col("refers_to").alias("target")).distinct().join(targets, "target")
-    return read.join(sizes, F.col("refers_to") == F.col("target"), "left").select(
+    found = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("target"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("target_bytes"))
+    asked = read.where("record_type = 'revisit'").select(F.col("refers_to").alias("target"), F.col("payload_digest").alias("digest")).distinct()
+    sizes = asked.join(found, ["target", "digest"])
+    return read.join(sizes, (F.col("refers_to") == F.col("target")) & (F.col("payload_digest") == F.col("digest")), "left").select(
         "page_id", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
     )
