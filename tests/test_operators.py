@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 
 import pytest
@@ -95,3 +96,53 @@ def test_empty_tables(spark):
     assert sequence.absorb_short(found, ["u"], "state", 1, "x").count() == 0
     assert sequence.segments(none, ["u"], ["t"], "t", 1).count() == 0
     assert joins.assign_within(none, none, ["u"], "t", 1).count() == 0
+
+
+def test_annotation_files_round_trip(spark, tmp_path):
+    from touchline.sources import labels
+
+    doc = {"video_id": "v", "fps": 25.0, "frames": {"0": [{"object_class": "player", "track_id": 1, "bbox": [1, 2, 3, 4]}, {"object_class": "ball", "bbox": [5, 6, 7, 8]}], "7": []}}
+    (tmp_path / "v.json").write_text(json.dumps(doc))
+    rows = labels.read_annotations(spark, str(tmp_path / "v.json"))
+    want = {("v", 25.0, 0, "player", 1, 1.0, 2.0, 3.0, 4.0), ("v", 25.0, 0, "ball", None, 5.0, 6.0, 7.0, 8.0), ("v", 25.0, 7, None, None, None, None, None, None)}
+    assert set(map(tuple, rows.collect())) == want
+    labels.write_annotations(rows, str(tmp_path / "out"))
+    assert set(map(tuple, labels.read_annotations(spark, str(tmp_path / "out")).collect())) == want
+    s = labels.summary(rows).first()
+    assert (s.n_frames, s.n_objects, s.n_tracks, s.by_class) == (2, 2, 1, {"ball": 1, "player": 1})
+
+
+def test_sequence_and_action_files(spark, tmp_path):
+    from touchline.sources import labels
+
+    (tmp_path / "SEQ-1").mkdir()
+    box = {"x": 1, "y": 2, "w": 3, "h": 4, "x_center": 2.5}
+    doc = {
+        "info": {"frame_rate": 25}, "images": [{"image_id": "i1", "file_name": "img/000012.jpg"}],
+        "annotations": [{"image_id": "i1", "track_id": 3, "attributes": {"role": "player", "team": None}, "bbox_image": box, "bbox_pitch": {"x_bottom_middle": 0.5, "y_bottom_middle": 1.5}}, {"image_id": "none", "track_id": 4}],
+    }
+    (tmp_path / "SEQ-1" / "Labels.json").write_text(json.dumps(doc))
+    assert [r.asDict() for r in labels.read_sequence_labels(spark, str(tmp_path / "SEQ-1" / "Labels.json")).collect()] == [
+        {"sequence": "SEQ-1", "fps": 25.0, "track_id": 3, "role": "player", "team": "unknown", "x1": 1.0, "y1": 2.0, "x2": 4.0, "y2": 6.0, "pitch_x": 0.5, "pitch_y": 1.5, "frame_idx": 12}
+    ]
+    notes = [{"gameTime": "2 - 00:01", "position": "1500", "label": "Pass", "team": "Left", "visibility": "visible"}, {"gameTime": "x", "position": "?", "label": "odd", "team": None}]
+    (tmp_path / "a.json").write_text(json.dumps({"annotations": notes}))
+    assert [tuple(r)[1:] for r in labels.read_actions(spark, str(tmp_path / "a.json")).collect()] == [("Pass", "pass_start", 2, 1.5, "left", "visible"), ("odd", "unknown", None, None, None, None)]
+
+
+def test_hysteresis_stream_is_the_fold(spark):
+    from touchline.plans import registry
+    from touchline.sources.tables import states
+
+    out, want = registry.queries()["streamed_hysteresis"](spark, "/root/testdata/sf0.001").collect(), set()
+    rows = {}
+    for r in states(spark, "/root/testdata/sf0.001").collect():
+        rows.setdefault(r.u, []).append((r.id, r.state != "error"))
+    for u, seq in rows.items():
+        on, run = False, 0
+        for at, proposed in sorted(seq):
+            run = run + 1 if proposed != on else 0
+            if run >= (8 if on else 3):
+                on, run = not on, 0
+                want.add((u, at, on))
+    assert {(r.u, r.at, r.is_on) for r in out} == want and len(want) > 10

@@ -53,12 +53,12 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states(spark, sf_dir).where("state <> 'view'").orderBy(F.col("state") == "click", "v", "t", "id").limit(100).select("u", "id", "state", "v")
 
 
-@query(""", q AS (SELECT state, greatest(0, 40 - count_if(v >= 100)) AS deficit FROM ev GROUP BY state), k AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY v DESC, id) AS n FROM ev WHERE v < 100)
+@query(""", q AS (SELECT state, greatest(0, (count(*) * 15 + 99) // 100 - count_if(v >= 100)) AS deficit FROM ev GROUP BY state), k AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY v DESC, id) AS n FROM ev WHERE v < 100)
  SELECT k.state, id, CAST(n AS BIGINT) AS place FROM k JOIN q ON k.state = q.state WHERE n <= deficit""")
 def quota_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per category as many candidates as its quota still lacks, the best first."""
+    """Per category as many candidates as its quota, 15 in a hundred, still lacks, the best first."""
     e = states(spark, sf_dir)
-    q = e.groupBy("state").agg(F.greatest(F.lit(0), 40 - F.count_if(F.col("v") >= 100)).alias("deficit"))
+    q = e.groupBy("state").agg(F.greatest(F.lit(0), F.floor((F.count("*") * 15 + 99) / 100) - F.count_if(F.col("v") >= 100)).alias("deficit"))
     place = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("v"), "id"))
     return e.where("v < 100").withColumn("place", place.cast("long")).join(F.broadcast(q), "state").where("place <= deficit").select("state", "id", "place")
 
