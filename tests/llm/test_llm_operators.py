@@ -97,6 +97,20 @@ def test_cuckoo_filter_inserts_deletes_and_grows():
     assert len(live) == 1500 and live.delete(keys[0]) is None
 
 
+def test_index_takes_further_documents_in_and_out(spark):
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, "a"), (5, "b"), (3, "a"), (4, None)], schema)
+    more = spark.createDataFrame([(9, "a"), (2, "c"), (2, "c"), (1, "b")], schema)
+    index = exact_dedup.insert(exact_dedup.build_index(first), more)
+    assert sorted((r.keep_id, r.group_size) for r in index.collect()) == [(2, 2), (4, 1), (5, 2), (9, 3)]
+    both = exact_dedup.build_index(first.unionByName(more))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, index.collect()))
+    gone = exact_dedup.delete(index, spark.createDataFrame([(7, "a"), (8, ""), (8, ""), (8, "never seen")], schema))
+    assert sorted((r.keep_id, r.group_size) for r in gone.collect()) == [(2, 2), (5, 2)]
+    back = exact_dedup.insert(gone, spark.createDataFrame([(3, "a")], schema))
+    assert sorted((r.keep_id, r.group_size) for r in back.collect()) == [(2, 2), (3, 1), (5, 2)]
+
+
 def test_packing(docs):
     df, rows = docs
     out = packing.pack(df, size=64).collect()
