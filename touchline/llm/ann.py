@@ -65,8 +65,14 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def _assign(unit: np.ndarray, along: np.ndarray, words: np.ndarray, parallel: float, passes: int = 2) -> np.ndarray:
-    """Codes by coordinate descent on |e|^2 + (parallel - 1) <e, along>^2, e being the residual's error."""
+    """Codes by coordinate descent on |e|^2 + (parallel - 1) <e, along>^2, e being the residual's error.
+
+    Rows are taken in runs whose distances to all words fit in about 64 MB.
+    """
     n, m, _ = unit.shape
+    run = max(1, (1 << 22) // unit[0].size // 16) if n else 1
+    if n > run:
+        return np.concatenate([_assign(unit[i : i + run], along[i : i + run], words, parallel, passes) for i in range(0, n, run)])
     diff = unit[:, :, None, :] - words[None]
     across = (diff * diff).sum(-1)
     toward = (diff * along[:, :, None, :]).sum(-1)
