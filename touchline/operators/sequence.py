@@ -63,19 +63,19 @@ def true_runs(df: DataFrame, by: list[str], order: list[str], flag: Column, time
 
 
 def fill_between(df: DataFrame, by: list[str], order: list[str], position: str, value: str, longest: int) -> DataFrame:
-    """Linear interpolation of null values in gaps of at most `longest` missing positions: `filled`, `method`, `confidence`."""
+    """Linear interpolation of null values between known ones at most `longest` positions apart: `filled`, `method`, `confidence`."""
     w = _w(by, order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
     out = df.withColumn("__a", F.last(known, ignorenulls=True).over(before)).withColumn("__b", F.first(known, ignorenulls=True).over(after))
     span = F.col("__b.p") - F.col("__a.p")
-    inside = F.col(value).isNull() & F.col("__a").isNotNull() & F.col("__b").isNotNull() & (span - 1 <= longest)
+    inside = F.col(value).isNull() & F.col("__a").isNotNull() & F.col("__b").isNotNull() & (span <= longest)
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col(position) - F.col("__a.p")) / span
     return out.select(
         *df.columns,
         F.when(F.col(value).isNotNull(), F.col(value)).when(inside, line).alias("filled"),
         F.when(F.col(value).isNotNull(), "observed").when(inside, "interpolated").otherwise("unknown").alias("method"),
-        F.when(F.col(value).isNotNull(), 1.0).when(inside, F.greatest(F.lit(0.1), 1 - (span - 1) / (2.0 * (longest + 1)))).otherwise(0.0).alias("confidence"),
+        F.when(F.col(value).isNotNull(), 1.0).when(inside, F.greatest(F.lit(0.1), 1 - span / (2.0 * (longest + 1)))).otherwise(0.0).alias("confidence"),
     )
 
 

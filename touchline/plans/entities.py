@@ -79,9 +79,9 @@ def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GAPPED + """ SELECT u, id, round(CASE WHEN v IS NOT NULL THEN v WHEN pb - pa <= 4 THEN va + (vb - va) * (p - pa) / (pb - pa) END, 8) AS filled,
   CASE WHEN v IS NOT NULL THEN 'observed' WHEN pb - pa <= 4 THEN 'interpolated' ELSE 'unknown' END AS method,
-  round(CASE WHEN v IS NOT NULL THEN 1.0 WHEN pb - pa <= 4 THEN greatest(0.1, 1 - (pb - pa - 1) / 8.0) ELSE 0.0 END, 6) AS confidence FROM k""")
+  round(CASE WHEN v IS NOT NULL THEN 1.0 WHEN pb - pa <= 4 THEN greatest(0.1, 1 - (pb - pa) / 10.0) ELSE 0.0 END, 6) AS confidence FROM k""")
 def bounded_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sequence.fill_between(_gapped(spark, sf_dir), BY, ["p"], "p", "v", 3)
+    out = sequence.fill_between(_gapped(spark, sf_dir), BY, ["p"], "p", "v", 4)
     return out.select("u", "id", r("filled").alias("filled"), "method", r("confidence", 6).alias("confidence"))
 
 
