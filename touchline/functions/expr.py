@@ -50,6 +50,29 @@ def project(h: list[Column] | list[float], x: Column, y: Column) -> tuple[Column
     return (h[0] * x + h[1] * y + h[2]) / safe, (h[3] * x + h[4] * y + h[5]) / safe
 
 
+def invert(h: list[Column]) -> list[Column]:
+    """Row-major inverse of a 3x3 matrix by its cofactors; every entry null for a singular one."""
+    minor = lambda a, b, c, d: h[a] * h[d] - h[b] * h[c]
+    cofactors = [minor(4, 5, 7, 8), -minor(1, 2, 7, 8), minor(1, 2, 4, 5), -minor(3, 5, 6, 8), minor(0, 2, 6, 8), -minor(0, 2, 3, 5), minor(3, 4, 6, 7), -minor(0, 1, 6, 7), minor(0, 1, 3, 4)]
+    det = h[0] * cofactors[0] + h[1] * cofactors[3] + h[2] * cofactors[6]
+    return [F.when(det != 0, c / det) for c in cofactors]
+
+
+def homography_distance(a: list[Column], b: list[Column], width: float, height: float) -> Column:
+    """Mean distance between where two homographies map twelve probes of the lower image; infinite if they map none.
+
+    Probes lie at 4 places from 0.1 to 0.9 of the width and 3 from 0.55 to 0.95 of the height, fixed values.
+    """
+    gaps = []
+    for j in range(3):
+        for i in range(4):
+            x, y = F.lit(width * (0.1 + 0.8 * i / 3)), F.lit(height * (0.55 + 0.2 * j))
+            (ax, ay), (bx, by) = project(a, x, y), project(b, x, y)
+            gaps.append(F.hypot(ax - bx, ay - by))
+    known = F.array_compact(F.array(*gaps))
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known)).otherwise(float("inf"))
+
+
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Intersection over union of two corner boxes; 0 where the union is empty."""
     width = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))

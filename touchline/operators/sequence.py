@@ -163,3 +163,13 @@ def running_shift(df: DataFrame, by: list[str], order: list[str], shift: Column,
     """Running sum of shifts that starts again at every cut."""
     out = number_runs(df.withColumn("__cut", cut).withColumn("__shift", shift), by, order, F.col("__cut"), "shot")
     return out.withColumn("moved", F.sum("__shift").over(_w([*by, "shot"], order))).drop("__cut", "__shift")
+
+
+def keep_owned(rows: DataFrame, chunks: DataFrame, by: list[str], position: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose position their chunk owns, (by, chunk, dropped) counts). rows: by, chunk, position; chunks: by, chunk, own_from, own_to.
+
+    Chunks overlap and ownership tiles, so what every chunk keeps is the union without duplicates.
+    """
+    marked = rows.join(chunks.select(*by, "chunk", "own_from", "own_to"), [*by, "chunk"])
+    owned = F.col(position).between(F.col("own_from"), F.col("own_to"))
+    return marked.where(owned).select(*rows.columns), marked.groupBy(*by, "chunk").agg(F.count_if(~owned).alias("dropped"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import joins
+from touchline.operators import joins, sequence
 from touchline.plans.registry import query
 from touchline.sources.tables import boxes, table
 
@@ -199,3 +199,40 @@ def appearance_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.withColumn("cosine", expr.cosine(F.col("q"), F.col("embedding")))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return p.withColumn("n", n).where("n <= 3").select("query_id", "vec_id", r("cosine", 5).alias("cosine"))
+
+
+@query(""" SELECT frame, id, CASE WHEN part % 50 <> 0 THEN round(x1, 4) END AS x, CASE WHEN part % 50 <> 0 THEN round(y1, 4) END AS y FROM bx""")
+def inverse_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points through a homography and its inverse; where the matrix is singular there is no way back."""
+    h = [F.lit(v) for v in H]
+    broken = F.col("part") % 50 == 0
+    matrix = [F.when(broken, F.lit(1.0)).otherwise(v) for v in h]
+    back = expr.project(expr.invert(matrix), *expr.project(h, F.col("x1"), F.col("y1")))
+    return boxes(spark, sf_dir).select("frame", "id", r(back[0]).alias("x"), r(back[1]).alias("y"))
+
+
+@query(""", p AS (SELECT 1280 * (0.1::DOUBLE + 0.8::DOUBLE * i / 3) AS px, 720 * (0.55::DOUBLE + 0.2::DOUBLE * j) AS py FROM range(4) a(i), range(3) b(j)),
+ k AS (SELECT DISTINCT part FROM bx),
+ q AS (SELECT part, 1.0::DOUBLE + part % 10 / 100 AS s, 0.001::DOUBLE * px + 0.002::DOUBLE * py + 1 AS w, px, py FROM k, p)
+ SELECT part, round(avg(sqrt(power((1.2::DOUBLE * px + 0.1::DOUBLE * py + 3) / w * (s - 1), 2) + power((0.05::DOUBLE * px + 0.9::DOUBLE * py + 1) / w * (s - 1), 2))), 6) AS distance FROM q GROUP BY part""")
+def homography_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart two homographies map the lower image."""
+    parts = boxes(spark, sf_dir).select("part").distinct()
+    a = [F.lit(v) for v in H]
+    scale = 1 + F.col("part") % 10 / 100
+    b = [v * scale if i < 6 else v for i, v in enumerate(a)]
+    return parts.select("part", r(expr.homography_distance(a, b, 1280.0, 720.0), 6).alias("distance"))
+
+
+@query(""", f AS (SELECT DISTINCT frame FROM bx), c AS (SELECT range AS chunk, range * 1000 AS own_from, range * 1000 + 999 AS own_to FROM range(200)),
+ j AS (SELECT c.chunk, f.frame, f.frame BETWEEN own_from AND own_to AS own FROM f JOIN c ON f.frame BETWEEN own_from - 50 AND own_to + 50)
+ SELECT chunk, count_if(own) AS kept, count_if(NOT own) AS dropped FROM j GROUP BY chunk""")
+def owned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that each of the overlapping chunks keeps and drops."""
+    f = boxes(spark, sf_dir).select("frame").distinct()
+    chunk = F.floor(F.col("frame") / 1000)
+    near = F.array_distinct(F.array(F.floor((F.col("frame") - 50) / 1000), chunk, F.floor((F.col("frame") + 50) / 1000)))
+    rows = f.select("frame", F.explode(near).alias("chunk")).where("chunk >= 0 and chunk < 200")
+    chunks = spark.range(200).select(F.col("id").alias("chunk"), (F.col("id") * 1000).alias("own_from"), (F.col("id") * 1000 + 999).alias("own_to"))
+    kept, dropped = sequence.keep_owned(rows, chunks, [], "frame")
+    return dropped.join(kept.groupBy("chunk").agg(F.count("*").alias("kept")), "chunk", "left").select("chunk", F.coalesce("kept", F.lit(0)).alias("kept"), "dropped")
