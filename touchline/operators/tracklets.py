@@ -5,15 +5,29 @@ Pairs come from bucketed joins and windows; folds run over islands, stretches of
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
+from touchline.streaming.windows import shared_dir
 
 #: Row-major identity as the first two rows of an affine warp.
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+#: Islands are handed to a task together until they hold this many rows.
+BATCH_ROWS = 10_000
+
+
+def _islands(rows: DataFrame, by: list[str], order: list[str], new: Column) -> DataFrame:
+    """rows with `island`, which rises where `new` holds, and `__batch`, whole islands in a row of about BATCH_ROWS rows."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = rows.withColumn("__new", F.coalesce(new, F.lit(True))).withColumn("__n", F.row_number().over(w))
+    first = F.max(F.when(F.col("__new"), F.col("__n"))).over(w)
+    return rows.withColumn("island", F.sum(F.col("__new").cast("long")).over(w)).withColumn("__batch", F.floor(first / BATCH_ROWS)).drop("__new", "__n")
 
 
 def stitch_pairs(tracks: DataFrame, by: list[str], max_gap: int = 30, max_distance: float = 120.0, ratios: tuple[float, float] = (0.6, 1.67)) -> DataFrame:
@@ -37,11 +51,10 @@ def stitch(pairs: DataFrame, by: list[str], max_gap: int = 30) -> DataFrame:
     """(by, earlier, later): in order of their start, later tracks take the cheapest predecessor that nothing follows yet.
 
     Ties go to the smaller ids. Two later tracks want the same predecessor only if they start within max_gap frames of each
-    other, so a video is cut where no start lies for that long, and one such island is a task's group.
+    other, so a video is cut where no start lies for that long, and a batch of such islands is a task's group.
     """
-    w = Window.partitionBy(*by).orderBy("later_first", "later", "earlier")
-    new = F.coalesce(F.col("later_first") - F.lag("later_first").over(w) >= max_gap, F.lit(True))
-    islands = pairs.withColumn("__n", new.cast("long")).withColumn("__island", F.sum("__n").over(w)).drop("__n")
+    order = ["later_first", "later", "earlier"]
+    far = F.col("later_first") - F.lag("later_first").over(Window.partitionBy(*by).orderBy(*order)) >= max_gap
     types = dict(pairs.dtypes)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -54,20 +67,23 @@ def stitch(pairs: DataFrame, by: list[str], max_gap: int = 30) -> DataFrame:
                 out.append((*key[:-1], row.earlier, row.later))
         return pd.DataFrame(out, columns=[*by, "earlier", "later"])
 
-    return islands.groupBy(*by, "__island").applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in (*by, "earlier", "later")))
+    return _islands(pairs, by, order, far).groupBy(*by, "__batch").applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in (*by, "earlier", "later")))
 
 
 def chain_heads(links: DataFrame, by: list[str]) -> DataFrame:
     """(by, later, head): the first track of the chain that ends in each linked track.
 
     links: by + earlier + later, each later once and no circles. Pointers double each round, so rounds grow with the logarithm
-    of the longest chain; every round ends in a checkpoint, which its count of open pointers reads.
+    of the longest chain; every round ends in a table in the shared folder, which cuts the lineage.
     """
+    spark = links.sparkSession
+    base = f"{shared_dir(spark)}/chains-{uuid.uuid4().hex}"
     heads = links.select(*by, "later", F.col("earlier").alias("head"))
-    while True:
+    for turn in itertools.count():
         ahead = heads.select(*by, F.col("later").alias("head"), F.col("head").alias("__next"))
         joined = heads.join(ahead, [*by, "head"], "left").select(*by, "later", F.coalesce("__next", "head").alias("head"), F.col("__next").isNotNull().alias("__open"))
-        joined = joined.checkpoint()
+        joined.write.parquet(f"{base}/{turn}")
+        joined = spark.read.schema(joined.schema).parquet(f"{base}/{turn}")
         heads = joined.drop("__open")
         if joined.where("__open").isEmpty():
             return heads
@@ -106,18 +122,19 @@ def trajectories(candidates: DataFrame, by: list[str], reach: int = 13, speed: f
 
     candidates: by + frame, id, x, y, confidence. Rows with a null place or confidence take no part.
     """
-    w = Window.partitionBy(*by).orderBy("frame", "id")
     known = candidates.where("x is not null and y is not null and confidence is not null")
-    new = F.coalesce(F.col("frame") - F.lag("frame").over(w) > reach, F.lit(True))
-    islands = known.withColumn("__n", new.cast("long")).withColumn("island", F.sum("__n").over(w)).drop("__n")
+    far = F.col("frame") - F.lag("frame").over(Window.partitionBy(*by).orderBy("frame", "id")) > reach
+    islands = _islands(known, by, ["frame", "id"], far)
     types = dict(islands.dtypes)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["frame", "confidence", "id"], ascending=[True, False, True])
-        rows = group.iloc[best_path(group[["frame", "x", "y", "confidence"]].to_numpy(float), reach, speed)]
-        return rows[[*by, "island", "frame", "id"]]
+        nodes, island = group[["frame", "x", "y", "confidence"]].to_numpy(float), group["island"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(island)) + 1), len(group)]
+        rows = [a + k for a, b in zip(cuts, cuts[1:], strict=False) for k in best_path(nodes[a:b], reach, speed)]
+        return group.iloc[rows][[*by, "island", "frame", "id"]]
 
-    return islands.groupBy(*by, "island").applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in (*by, "island", "frame", "id")))
+    return islands.groupBy(*by, "__batch").applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in (*by, "island", "frame", "id")))
 
 
 def _compose(later: Column, earlier: Column) -> Column:
