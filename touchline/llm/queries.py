@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import ann, chat, exact_dedup, html_extract, jaccard_join, mixing, packing, pii, toxicity, warc
+from touchline.llm import ann, chat, exact_dedup, hard_negatives, html_extract, jaccard_join, line_dedup, merkle, mixing, packing, pii, toxicity, warc
 from touchline.llm.common import table
 
 
@@ -54,12 +54,96 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1, keep_first=False))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Levels that the manifest's SQL spells out; 8 ** 8 rows of a language are more than it is run on.
+_LEVELS = 8
+
+
+def _level(k: int, nodes: str, by: str) -> str:
+    """Nodes of level k with what stands before and after each in its run of eight, and those of level k + 1."""
+    run = f"PARTITION BY {by}, p // 8 ORDER BY p"
+    return f""", {nodes}s{k} AS (
+        SELECT *, coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+               coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r,
+               count(*) OVER (PARTITION BY {by}) AS n FROM {nodes}{k}
+    ), {nodes}{k + 1} AS (
+        SELECT {by}, p // 8 AS p, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h FROM {nodes}s{k} GROUP BY {by}, p // 8
+    )"""
+
+
+def _manifest_sql() -> str:
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    crc = """xor(list_reduce([4294967295::BIGINT] || [ord(c)::BIGINT for c in string_split(CAST(doc_id AS VARCHAR), '')],
+        lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT for i in range(8)], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""WITH d AS (
+        SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf("text")} AS leaf, {leaf(lower)} AS lowered, {crc} AS crc FROM documents
+    ), f AS (
+        SELECT *, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS claim, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d
+    ), a0 AS (SELECT g, p, leaf AS h FROM f)"""
+    sql += "".join(_level(k, "a", "g") for k in range(_LEVELS))
+    sql += f", t0 AS (SELECT '' AS x, row_number() OVER (ORDER BY encode(g)) - 1 AS p, h, g FROM a{_LEVELS})"
+    sql += "".join(_level(k, "t", "x") for k in range(_LEVELS))
+    sql += ", w0 AS (SELECT f.*, claim AS node, '' AS sib, g0.p AS gp, g0.h AS subroot FROM f JOIN t0 g0 USING (g))"
+    for k in range(2 * _LEVELS):
+        n, on = (f"as{k}", f"n.g = w.g AND n.p = w.p // {8**k}") if k < _LEVELS else (f"ts{k - _LEVELS}", f"n.p = w.gp // {8 ** (k - _LEVELS)}")
+        sql += f""", w{k + 1} AS (
+            SELECT w.* REPLACE (CASE WHEN n.n > 1 THEN sha256(n.l || w.node || n.r) ELSE w.node END AS node, w.sib || n.l || n.r AS sib) FROM w{k} w JOIN {n} n ON {on})"""
+    return f"""{sql} SELECT w.doc_id, w.leaf, w.subroot, t.h AS root, sha256(w.sib) AS proof_sha256, w.node AS folded_root, w.node = t.h AS verified
+        FROM w{2 * _LEVELS} w, t{_LEVELS} t"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_line_dedup": """
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+            ), l AS (
+                SELECT r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+                FROM (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d)
+            ), often AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+            ), k AS (
+                SELECT r, count(*) AS n_lines, count(*) FILTER (often.key IS NOT NULL) AS n_dropped,
+                       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often.key IS NULL), '') AS kept
+                FROM l LEFT JOIN often USING (key) GROUP BY r
+            )
+            SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN k USING (r)""",
+        "op12_merkle": _manifest_sql(),
+        "op13_hard_negatives": """
+            WITH e AS (
+                SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v
+                FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+                FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+            ), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+            )
+            SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+            FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score
+            WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 3""",
         "op3_warc": """
             WITH p AS (
                 SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
