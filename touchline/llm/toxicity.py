@@ -54,13 +54,17 @@ def _weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
     return np.where(np.abs(z) <= s.l1, 0.0, -(z - np.sign(z) * s.l1) / rate)
 
 
-def _ftrl(examples: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) after all rounds of FTRL-proximal; bucket 2**bits is the bias, which is not regularised."""
+def _ftrl(features: np.ndarray, ends: np.ndarray, labels: list[int], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights) after all rounds of FTRL-proximal; bucket 2**bits is the bias, which is not regularised.
+
+    features holds the distinct ones of each example in a row, ends where each example's stop.
+    """
     size = (1 << s.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     free = replace(s, l1=0.0, l2=0.0)
     for _ in range(s.rounds):
-        for x, y in examples:
+        for a, b, y in zip(np.append(0, ends[:-1]), ends, labels, strict=True):
+            x = np.append(features[a:b], 1 << s.bits)
             w = _weights(z[x], n[x], s)
             w[-1] = _weights(z[-1:], n[-1:], free)[0]
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
@@ -80,13 +84,17 @@ def _shard_trainer(s: Settings):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         order = np.random.default_rng(11).permutation(len(group))
         group = group.sort_values(["doc_id", "y"]).iloc[order]
-        x: list[np.ndarray] = []
-        for _, count, f, row in feature_slices(pa.array(group["text"], pa.string()), s.bits):
-            by_row = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[by_row], np.arange(count + 1))
-            f = f[by_row]
-            x += [np.append(np.unique(f[a:b]), 1 << s.bits) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        buckets, w = _ftrl(list(zip(x, group["y"].tolist(), strict=True)), s)
+        texts, labels = pa.array(group["text"], pa.string()), group["y"].tolist()
+        del group
+        parts, counts = [], []
+        for _, count, f, row in feature_slices(texts, s.bits):
+            pair = np.unique(row << s.bits | f)
+            parts.append((pair & ((1 << s.bits) - 1)).astype(np.int32))
+            counts.append(np.bincount(pair >> s.bits, minlength=count))
+        del texts
+        features, ends = np.concatenate(parts), np.cumsum(np.concatenate(counts))
+        del parts
+        buckets, w = _ftrl(features, ends, labels, s)
         return pd.DataFrame({"bucket": buckets, "w": w})
 
     return run
