@@ -89,8 +89,8 @@ def chain_heads(links: DataFrame, by: list[str]) -> DataFrame:
             return heads
 
 
-def best_path(nodes: np.ndarray, reach: int, speed: float) -> list[int]:
-    """Rows of the best chain through candidates (frame, x, y, confidence) sorted by frame and falling confidence.
+def search(nodes: np.ndarray, reach: int, speed: float) -> tuple[np.ndarray, np.ndarray]:
+    """(score, parent) of the best chain that ends in each candidate (frame, x, y, confidence), sorted by frame and falling confidence.
 
     A step adds the next one's confidence less 0.6 of its share of speed * frames and 0.8 of the frames skipped / (reach - 1);
     steps of more than reach frames or beyond that speed are impossible. A predecessor counts only if it raises the score.
@@ -110,6 +110,12 @@ def best_path(nodes: np.ndarray, reach: int, speed: float) -> list[int]:
         k = int(np.argmax(total))
         if total[k] > score[i]:
             score[i], parent[i] = total[k], lo + k
+    return score, parent
+
+
+def best_path(nodes: np.ndarray, reach: int, speed: float) -> list[int]:
+    """Rows of the best chain through candidates, as search() scores them."""
+    score, parent = search(nodes, reach, speed)
     at, out = int(np.argmax(score)), []
     while at >= 0:
         out.append(at)
@@ -117,15 +123,20 @@ def best_path(nodes: np.ndarray, reach: int, speed: float) -> list[int]:
     return out[::-1]
 
 
+def islands(rows: DataFrame, by: list[str], order: list[str], reach: int) -> DataFrame:
+    """rows with `island`, a stretch of frames that no step of `reach` frames leaves, and `__batch`, whole islands for one task."""
+    far = F.col("frame") - F.lag("frame").over(Window.partitionBy(*by).orderBy(*order)) > reach
+    return _islands(rows, by, order, far)
+
+
 def trajectories(candidates: DataFrame, by: list[str], reach: int = 13, speed: float = 90.0) -> DataFrame:
     """(by, island, frame, id): candidates on the best path of each island, frames that no step of `reach` frames leaves.
 
     candidates: by + frame, id, x, y, confidence. Rows with a null place or confidence take no part.
     """
     known = candidates.where("x is not null and y is not null and confidence is not null")
-    far = F.col("frame") - F.lag("frame").over(Window.partitionBy(*by).orderBy("frame", "id")) > reach
-    islands = _islands(known, by, ["frame", "id"], far)
-    types = dict(islands.dtypes)
+    stretches = islands(known, by, ["frame", "id"], reach)
+    types = dict(stretches.dtypes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["frame", "confidence", "id"], ascending=[True, False, True])
@@ -134,7 +145,7 @@ def trajectories(candidates: DataFrame, by: list[str], reach: int = 13, speed: f
         rows = [a + k for a, b in zip(cuts, cuts[1:], strict=False) for k in best_path(nodes[a:b], reach, speed)]
         return group.iloc[rows][[*by, "island", "frame", "id"]]
 
-    return islands.groupBy(*by, "__batch").applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in (*by, "island", "frame", "id")))
+    return stretches.groupBy(*by, "__batch").applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in (*by, "island", "frame", "id")))
 
 
 def _compose(later: Column, earlier: Column) -> Column:
