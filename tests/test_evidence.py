@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import ball, calibration, scoring, splits, teams
+from touchline.operators import ball, calibration, game_state, observability, scoring, splits, teams
+from touchline.sources import tables
 
 CAND = "video string, frame long, id long, x double, y double, radius double, confidence double"
 
@@ -470,3 +471,205 @@ def test_projection_of_a_point_at_infinity_is_null(spark):
     h = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0)]
     x, _ = expr.project(h, F.lit(0.0), F.lit(2.0))
     assert spark.range(1).select(x).first()[0] is None
+
+
+STATE_TABLES = {
+    "observations": "video_id string, frame_idx long, track_id long, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, det_confidence double, track_confidence double, interpolated boolean",
+    "labels": "video_id string, track_id long, object_class string, team_id string, team_confidence double, role string, jersey_number int, jersey_confidence double",
+    "ball": "video_id string, frame_idx long, x double, y double, confidence double, method string",
+    "calibration": "video_id string, frame_idx long, homography array<double>, valid boolean, confidence double, segment_kind string, smoothed boolean",
+    "frames": "video_id string, frame_idx long, timestamp_s double",
+}
+
+
+def _match(seed, n=140):
+    """A ball that people pass to and fro, with gaps, outs and bad solves."""
+    rng = random.Random(seed)
+    rows = {k: [] for k in STATE_TABLES}
+    rows["labels"] = [("v", t, "player", "A" if t < 3 else "B", 0.9, "outfield", None, 0.0) for t in range(6)] + [("v", 6, "referee", "none", 1.0, "referee", None, 0.0)]
+    at = {t: [rng.uniform(100, 260), rng.uniform(300, 420)] for t in range(7)}
+    holder, x, y = 0, 300.0, 300.0
+    for f in range(n):
+        rows["frames"].append(("v", f, f * 0.04))
+        for t, p in at.items():
+            p[0], p[1] = p[0] + rng.uniform(-4, 4), p[1] + rng.uniform(-3, 3)
+            h = 70.0 + t
+            rows["observations"].append(("v", f, t, p[0] - 15, p[1] - h, p[0] + 15, p[1], 0.8, 0.7, rng.random() < 0.1))
+        if rng.random() < 0.06:
+            holder = rng.randrange(7)
+        x, y = x + (at[holder][0] - x) * 0.5 + rng.uniform(-8, 8), y + (at[holder][1] - y) * 0.5
+        away = 40 < f < 60
+        if rng.random() < 0.9:
+            rows["ball"].append(("v", f, 1250.0 + f if away else x, y, 0.6, rng.choice(["observed"] * 4 + ["interpolated"])))
+        rows["calibration"].append(("v", f, [0.09, 0.0, 0.0, 0.0, 0.09, 0.0, 0.0, 0.0, 1.0], rng.random() < 0.95, rng.choice([0.3, 0.9, 0.9, 0.9]), "live", False))
+    return rows
+
+
+def _plain_possession(rows, fps=25.0):
+    """The ladder, the carry and the spans as one loop over the frames."""
+    from touchline.operators.motion import constant_velocity_smoother
+
+    solve = {r[1]: r for r in rows["calibration"]}
+    ball = {r[1]: r for r in rows["ball"]}
+    team = {r[1]: r[3] for r in rows["labels"]}
+    people = {}
+    for r in rows["observations"]:
+        people.setdefault(r[1], []).append((r[2], (r[3] + r[5]) / 2, r[6], r[6] - r[4], team[r[2]]))
+    pitch = {f: ((0.09 * b[2], 0.09 * b[3]) if solve[f][3] and -60 <= 0.09 * b[2] <= 165 and -60 <= 0.09 * b[3] <= 128 else None) for f, b in ball.items()}
+    speed, run = {}, []
+    for f in [*range(len(rows["frames"])), None]:
+        if f is not None and f in ball:
+            run.append(f)
+            continue
+        if len(run) >= 3:
+            _, v = constant_velocity_smoother(np.array([g * 0.04 for g in run]), np.array([ball[g][2:4] for g in run]), 6.0, 900.0)
+            speed |= {g: float(np.hypot(*w)) / float(np.median([p[3] for p in people[g]])) for g, w in zip(run, v, strict=True)}
+        run = []
+    off = lambda p, m: not (-m <= p[0] <= 105 + m and -m <= p[1] <= 68 + m)
+    clip = lambda v, lo=0.0, hi=1.0: max(lo, min(hi, v))
+    owner, since, out = None, None, []
+    for f in range(len(rows["frames"])):
+        now, held = f * 0.04, (f * 0.04 - since) if since is not None else 0.0
+        p = pitch.get(f)
+        state, who, side, sure = "unknown", None, "unknown", 0.0
+        if p is not None:
+            seen = [pitch[g] for g in range(f, f + 20) if pitch.get(g) is not None][:10]
+            gone = sum(off(q, 1.5) and not off(q, 15.0) for q in seen)
+            d = sorted((math.hypot(q[1] - ball[f][2], q[2] - ball[f][3]) / q[3], q[0], q[4]) for q in people[f])
+            (near, t, a), (second, _, b), v = d[0], d[1], speed.get(f)
+            real = lambda s: s in ("A", "B")
+            if not off(p, 15.0) and solve[f][4] >= 0.45 and gone >= max(1, int(0.7 * len(seen))):
+                state, sure = "out_of_play", 0.6
+            elif v is not None and v > 6.0:
+                state, sure = "loose_ball", 0.55
+            elif near > 4.0:
+                state, sure = "loose_ball", clip(near / 8, 0.3, 0.8)
+            elif second <= 0.6 and near <= 0.6 and real(a) and real(b) and a != b and second - near < 0.3:
+                state, side, sure = "contested", "contested", 0.5
+            elif near <= 0.6:
+                total = 0.35 * clip(1 - near / 0.6) + 0.2 * clip((second - near) / 2) + 0.2 * (1.0 if v is None else clip(1 - v / 6)) + 0.25 * clip(held)
+                state, who, side, sure = "controlled", t, a, clip(total * (1.0 if t == owner else 0.6) * (0.6 if ball[f][5] == "interpolated" else 1.0))
+            else:
+                state, sure = "loose_ball", 0.45
+        if state == "controlled":
+            since = now if who != owner else since
+            owner = who
+        elif state in ("loose_ball", "out_of_play"):
+            owner = since = None
+        out.append((f, state, side, who, round(sure, 9), p is not None))
+    raw = []
+    for f, state, side, who, sure, known in out:
+        if raw and raw[-1][:3] == [state, side, who]:
+            raw[-1][4] = f
+            raw[-1][5].append(sure)
+            raw[-1][6].append(known)
+        else:
+            raw.append([state, side, who, f, f, [sure], [known]])
+    spans = []
+    for s in raw:
+        if (s[4] - s[3]) * 0.04 < 0.16 and spans and s[0] != "unknown" and spans[-1][0] != "unknown":
+            spans[-1][4] = s[4]
+        else:
+            spans.append([*s[:5], round(float(np.mean(s[5])), 6), round(float(np.mean(s[6])), 6)])
+    return out, [tuple(s) for s in spans]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_possession_from_the_game_state_is_a_fold_over_frames(spark, seed):
+    rows = _match(seed)
+    t = {k: spark.createDataFrame(v, STATE_TABLES[k]).repartition(3) for k, v in rows.items()}
+    state = game_state.assemble(t["observations"], t["labels"], t["ball"], t["calibration"], t["frames"])
+    frames = game_state.frame_table(t["frames"], state, t["calibration"])
+    decided = game_state.possession_by_frame(state, frames)
+    want, spans = _plain_possession(rows)
+    got = [(r.frame_idx, r.state, r.team_id, r.track_id, r.confidence) for r in decided.orderBy("frame_idx").collect()]
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert [g[4] for g in got] == pytest.approx([w[4] for w in want], abs=1e-6)
+    assert {"controlled", "loose_ball", "unknown"} <= {w[1] for w in want}
+    found = [(r.state, r.team_id, r.track_id, r.start_frame, r.end_frame, round(r.confidence, 6), round(r.ball_coverage, 6)) for r in game_state.possession_spans(decided).orderBy("span").collect()]
+    assert [f[:5] for f in found] == [s[:5] for s in spans]
+    assert [x for f in found for x in f[5:]] == pytest.approx([x for s in spans for x in s[5:]], abs=2e-6)
+
+
+def test_profiles_from_the_game_state(spark):
+    from touchline.operators.motion import constant_velocity_smoother
+
+    rows = _match(5, 100)
+    rows["observations"] = [r for r in rows["observations"] if not (30 < r[1] < 50 and r[2] == 1)]  # a gap in one track
+    t = {k: spark.createDataFrame(v, STATE_TABLES[k]) for k, v in rows.items()}
+    state = game_state.assemble(t["observations"], t["labels"], t["ball"], t["calibration"], t["frames"])
+    got = {r.track_id: r for r in game_state.physical_profiles(state).collect()}
+    solve = {r[1]: r for r in rows["calibration"]}
+    for track in range(7):
+        mine = [r for r in rows["observations"] if r[2] == track]
+        good = [r for r in mine if not r[9] and solve[r[1]][3] and solve[r[1]][4] >= 0.5]
+        parts = [[good[0]]]
+        for a, b in zip(good, good[1:], strict=False):
+            if (b[1] - a[1]) * 0.04 > 0.5:
+                parts.append([])
+            parts[-1].append(b)
+        distance = duration = 0.0
+        for p in parts:
+            place, speed = constant_velocity_smoother(np.array([r[1] * 0.04 for r in p]), np.array([(0.09 * (r[3] + r[5]) / 2, 0.09 * r[6]) for r in p]), 0.5, 3.0)
+            v = np.hypot(speed[:, 0], speed[:, 1])
+            step = np.hypot(*np.diff(place, axis=0).T) if len(p) > 1 else np.empty(0)
+            distance += float(step[((v[1:] + v[:-1]) / 2) <= 12.0].sum()) if len(p) > 1 else 0.0
+            duration += (p[-1][1] - p[0][1]) * 0.04
+        r = got[track]
+        assert (r.n_rows, r.n_usable) == (len(mine), len(good)) and r.distance == pytest.approx(distance) and r.duration == pytest.approx(duration)
+
+
+def test_assembly_of_points_without_a_place(spark):
+    rows = {
+        "observations": [("v", 1, 1, 0.0, 0.0, 10.0, 20.0, 0.9, 0.8, False), ("v", 2, 1, 5000.0, 0.0, 5010.0, 20.0, 0.9, 0.8, False), ("v", 3, 9, 0.0, 0.0, 10.0, 20.0, 0.9, 0.8, True), ("v", 99, 1, 0.0, 0.0, 1.0, 1.0, 0.9, 0.8, False)],
+        "labels": [("v", 1, "player", "A", 0.9, "outfield", 7, 0.5)], "ball": [("v", 1, None, None, 0.0, "unknown")], "frames": [("v", f, f / 25) for f in (1, 2, 3, 4)],
+        "calibration": [("v", 1, [0.1, 0.0, 0.0, 0.0, 0.1, 0.0, 0.0, 0.0, 1.0], True, 0.9, "live", False), ("v", 2, [0.1, 0.0, 0.0, 0.0, 0.1, 0.0, 0.0, 0.0, 1.0], True, 0.9, "live", False)],
+    }
+    t = {k: spark.createDataFrame(v, STATE_TABLES[k]) for k, v in rows.items()}
+    regions = game_state.support_region(spark.createDataFrame([("v", 1, 900.0 + 10 * i, 500.0 + 10 * i) for i in range(3)] + [("v", 2, 1.0, 1.0)], "video_id string, frame_idx long, x double, y double"), ["video_id", "frame_idx"], 1280, 720)
+    assert regions.count() == 1
+    out = {r.frame_idx: r for r in game_state.assemble(t["observations"], t["labels"], t["ball"], t["calibration"], t["frames"], regions).collect()}
+    assert set(out) == {1, 2, 3}
+    assert (out[1].validation_status, round(out[1].pitch_x, 6), out[1].jersey_number) == ("extrapolated", 0.5, 7)
+    assert (out[2].validation_status, out[2].pitch_x) == ("extrapolated", None) and (out[3].validation_status, out[3].team_id) == ("interpolated", "unknown")
+    none = {k: v.where("false") for k, v in t.items()}
+    state = game_state.assemble(none["observations"], none["labels"], none["ball"], none["calibration"], none["frames"])
+    frames = game_state.frame_table(none["frames"], state, none["calibration"])
+    assert game_state.possession_spans(game_state.possession_by_frame(state, frames)).count() == game_state.physical_profiles(state).count() == game_state.context_summary(state, frames).count() == 0
+    assert spark.range(1).select(game_state.half_of(F.lit(3.0), F.array(F.lit(50)), 25.0).alias("a"), game_state.half_of(F.lit(3.0), F.lit(None).cast("array<int>"), 25.0).alias("b")).first()[:2] == (2, 1)
+
+
+def test_canonical_tables_round_trip(spark, tmp_path):
+    rows = _match(1, 30)
+    t = {k: spark.createDataFrame(v, STATE_TABLES[k]) for k, v in rows.items()}
+    state = game_state.assemble(t["observations"], t["labels"], t["ball"], t["calibration"], t["frames"])
+    for form in ("parquet", "json"):
+        path = str(tmp_path / form)
+        tables.write_table(state, "game_state", path, form=form)
+        back = tables.read_table(spark, "game_state", path, form)
+        assert sorted(map(str, back.select(*sorted(back.columns)).collect())) == sorted(map(str, tables.conform(state, "game_state").select(*sorted(back.columns)).collect()))
+    t["frames"].write.parquet(str(tmp_path / "plain"))
+    with pytest.raises(ValueError, match="version"):
+        tables.read_table(spark, "frames", str(tmp_path / "plain"))
+    bad = spark.createDataFrame([("v", [1.0] * 8)], "video_id string, homography array<double>")
+    with pytest.raises(Exception, match="nine"):
+        tables.homographies(bad).collect()
+    assert [r.valid for r in tables.homographies(spark.createDataFrame([("v", [1.0] * 9), ("v", None), ("v", [])], bad.schema)).collect()] == [True, False, False]
+
+
+def test_visibility_and_recovery_of_nothing_and_of_cuts(spark):
+    shape = "video string, frame long, x double, y double, cut boolean, camera_motion double, calibration double, keypoints long"
+    rows = [("v", 1, 100.0, 100.0, False, None, None, None), ("v", 2, 110.0, 100.0, False, None, None, None), ("v", 3, None, None, False, None, None, None), ("v", 4, None, None, True, None, None, None), ("v", 5, 50.0, 50.0, False, None, None, None), ("v", 6, None, None, False, None, None, None), ("v", 40, None, None, False, None, None, None)]
+    players = spark.createDataFrame([("v", 3, 115.0, 90.0, 125.0, 110.0)], "video string, frame long, x1 double, y1 double, x2 double, y2 double")
+    frames = spark.createDataFrame(rows, shape)
+    e = {r.frame: (r.age, r.ex, r.ey) for r in observability.expectation(frames, ["video"]).collect()}
+    assert e[3] == (1, 120.0, 100.0) and e[4] == (None, None, None) and e[6] == (1, 50.0, 50.0) and e[40] == (35, None, None)
+    got = {r.frame: (r.state, r.nearby) for r in observability.label_frames(frames, players, ["video"], 1280, 720).collect()}
+    assert got[3] == ("likely_occluded", 1) and got[4][0] == "uncertain" and got[6] == ("likely_visible", 0) and got[1][0] == "likely_visible"
+    s = observability.visibility_summary(observability.label_frames(frames, players, ["video"], 1280, 720), ["video"]).first()
+    assert (s.n_frames, s.fair, s.explained, s.observed) == (7, 6, 1, 3)
+    assert observability.label_frames(frames.where("false"), players, ["video"], 1280, 720).count() == 0
+    weak = spark.createDataFrame([("v", f, 10.0 * f, 0.0, 9.0, 0.0, 5) for f in (1, 2, 3, 5, 6)] + [("v", 7, 900.0, 0.0, 9.0, 0.0, 5), ("v", 20, 0.0, None, 9.0, 0.0, 5)], "video string, frame long, x double, y double, ratio double, deviation double, gap_frames int")
+    out = {r.frame: r for r in observability.confirmed(weak, ["video"]).collect()}
+    assert set(out) == {1, 2, 3} and out[1].confidence == pytest.approx(0.45) and (out[2].first_frame, out[2].last_frame, out[2].consistency) == (1, 3, 1.0)
+    assert observability.confirmed(weak.where("false"), ["video"]).count() == 0

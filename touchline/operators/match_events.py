@@ -42,9 +42,9 @@ EVENT = ("video", "event_type", "frame_idx", "team_id", "track_id", "related_tra
 def _emit(rows: DataFrame, kinds: list[tuple[Column, str, Column]], **columns: Column) -> DataFrame:
     """One event for each kind (condition, type, confidence) that holds for a row."""
     made = F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("event_type"), sure.cast("double").alias("confidence"))) for when, kind, sure in kinds))
-    types = {"frame_idx": "long", "track_id": "long", "related_track_id": "long", "video": "long", "team_id": "string"}
+    types = {"frame_idx": "long", "track_id": "long", "related_track_id": "long", "team_id": "string"}
     out = rows.withColumn("__e", F.explode(F.array_compact(made)))
-    cell = lambda c: F.col(f"__e.{c}") if c in ("event_type", "confidence") else columns.get(c, F.lit(None)).cast(types.get(c, "double"))
+    cell = lambda c: F.col(f"__e.{c}") if c in ("event_type", "confidence") else columns["video"] if c == "video" else columns.get(c, F.lit(None)).cast(types.get(c, "double"))
     return out.select(*(cell(c).alias(c) for c in EVENT))
 
 

@@ -27,7 +27,7 @@ def two_nearest(people: DataFrame, ball: DataFrame, by: list[str]) -> DataFrame:
     """Ball frames with the nearest person's track, team and distance and the second's team and distance, in heights.
 
     people: by, track_id, team_id, x, y, height; without a track or of a height of 1 or less they don't count. ball: by, x, y.
-    One aggregation over the join on the frame keeps the two least, so no frame is sorted or collected.
+    The two least of a frame are ranked by a window over its people, which are few.
     """
     usable = people.where("track_id is not null and height > 1").select(*by, "track_id", "team_id", "height", F.col("x").alias("__x"), F.col("y").alias("__y"))
     pairs = ball.join(usable, by).withColumn("d", F.hypot(F.col("__x") - F.col("x"), F.col("__y") - F.col("y")) / F.col("height"))

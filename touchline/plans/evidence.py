@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.operators import ball, calibration, splits, teams
+from touchline.operators import ball, calibration, observability, splits, teams
 from touchline.plans.registry import query
 from touchline.sources.tables import states, table
 
@@ -222,3 +222,51 @@ def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.floor(F.col("t") / 1800).cast("long")
     rows = states(spark, sf_dir).groupBy((F.col("u") % 10).alias("video"), f.alias("frame")).agg(F.min("state").alias("kind"))
     return splits.spread_sample(rows, V, "frame", "kind", {"purchase": 20, "error": 10, "click": 15, "view": 5}, 12, 5)
+
+
+def _visibility(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Half-hours of a video with a sighting now and then, and its entities as players."""
+    f, n = F.col("frame"), F.col("n")
+    e = states(spark, sf_dir).select((F.col("u") % 10).alias("video"), F.floor(F.col("t") / 1800).cast("long").alias("frame"), "u", "id")
+    at = e.groupBy("video", "frame").agg(F.max("id").alias("n"))
+    seen = n % 3 == 0
+    frames = at.select(
+        "video", "frame", F.when(seen, d(n % 1280)).alias("x"), F.when(seen, d(n % 720)).alias("y"), (n % 41 == 0).alias("cut"), d(n % 20).alias("camera_motion"), F.when(n % 5 != 0, d(n % 10) / 10).alias("calibration"), (n % 12).alias("keypoints")
+    )
+    u = F.col("u")
+    players = e.select("video", "frame", d(u * 61 % 1200).alias("x1"), d(u * 43 % 600).alias("y1"), d(u * 61 % 1200 + 90).alias("x2"), d(u * 43 % 600 + 150).alias("y2"))
+    return frames, players
+
+
+@query(""", e AS (SELECT u % 10 AS video, t // 1800 AS frame, u, id FROM ev), fr AS (SELECT video, frame, max(id) AS n FROM e GROUP BY ALL),
+ er AS (SELECT *, n % 3 = 0 AS seen, sum(CASE WHEN n % 41 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY frame) AS era FROM fr),
+ ls AS (SELECT *, last_value(CASE WHEN seen THEN {'f': frame, 'x': n % 1280, 'y': n % 720, 'e': era} END IGNORE NULLS) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM er),
+ vl AS (SELECT *, CASE WHEN seen AND s.e = era THEN s END AS p FROM ls),
+ pv AS (SELECT *, CASE WHEN s.e = era THEN s END AS l, last_value(CASE WHEN seen THEN {'has': p IS NOT NULL, 'vx': ((n % 1280) - p.x) / (frame - p.f), 'vy': ((n % 720) - p.y) / (frame - p.f)} END IGNORE NULLS)
+   OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM vl),
+ ex AS (SELECT *, frame - l.f AS age, CASE WHEN frame - l.f <= 12 AND (NOT v.has OR sqrt(v.vx ** 2 + v.vy ** 2) * (frame - l.f) <= 300) THEN l.x + CASE WHEN v.has THEN v.vx * (frame - l.f) ELSE 0 END END AS ex,
+   CASE WHEN frame - l.f <= 12 AND (NOT v.has OR sqrt(v.vx ** 2 + v.vy ** 2) * (frame - l.f) <= 300) THEN l.y + CASE WHEN v.has THEN v.vy * (frame - l.f) ELSE 0 END END AS ey FROM pv),
+ ct AS (SELECT video, frame, count(*) FILTER (ex BETWEEN u * 61 % 1200 AND u * 61 % 1200 + 90 AND ey BETWEEN u * 43 % 600 AND u * 43 % 600 + 150) AS inside,
+   count(*) FILTER (sqrt((u * 61 % 1200 + 45 - ex) ** 2 + (u * 43 % 600 + 75 - ey) ** 2) <= 120) AS near FROM ex JOIN e USING (video, frame) GROUP BY ALL),
+ st AS (SELECT *, CASE WHEN seen THEN 'likely_visible' WHEN n % 12 < 3 AND coalesce(CASE WHEN n % 5 <> 0 THEN n % 10 / 10 END, 1) < 0.1 THEN 'not_on_pitch' WHEN n % 20 >= 18 THEN 'likely_motion_blurred' WHEN ex IS NULL THEN 'uncertain'
+   WHEN NOT (ex BETWEEN 24 AND 1256 AND ey BETWEEN 24 AND 696) THEN 'likely_outside_frame' WHEN inside > 0 THEN 'likely_occluded' WHEN near >= 5 THEN 'likely_hidden_by_players' ELSE 'likely_visible' END AS state FROM ex JOIN ct USING (video, frame))
+ SELECT video, frame, state, CAST(CASE WHEN seen THEN 0 ELSE age END AS BIGINT) AS age, CASE WHEN NOT seen AND state IN ('likely_occluded', 'likely_hidden_by_players', 'likely_visible') THEN near END AS nearby FROM st""")
+def ball_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the ball could have been seen in each frame, from its last sightings in the shot, the camera and the players."""
+    out = observability.label_frames(*_visibility(spark, sf_dir), V, 1280.0, 720.0)
+    return out.select("video", "frame", "state", F.col("age").cast("long").alias("age"), "nearby")
+
+
+@query(""", cd AS (SELECT u % 10 AS video, t // 7200 AS frame, max(id) AS n FROM ev GROUP BY ALL), ok AS (SELECT *, n % 200 / 4.0::DOUBLE AS x, n % 90 / 3.0::DOUBLE AS y, 3 + n % 9 AS ratio, n % 40 AS dev FROM cd WHERE 5 + n % 12 <= 15 AND n % 8 <> 0),
+ lk AS (SELECT *, CASE WHEN lag(frame) OVER w = frame - 1 THEN sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) END AS step FROM ok WINDOW w AS (PARTITION BY video ORDER BY frame)),
+ rn AS (SELECT *, sum(CASE WHEN step IS NULL OR step > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY frame) AS run FROM lk),
+ wh AS (SELECT *, count(*) OVER r AS k, min(frame) OVER r AS a, max(frame) OVER r AS b, row_number() OVER (PARTITION BY video, run ORDER BY frame) AS i FROM rn WINDOW r AS (PARTITION BY video, run)),
+ cs AS (SELECT video, run, 1 / (1 + coalesce(stddev_pop(step) FILTER (i > 1), 0) / greatest(1, coalesce(avg(step) FILTER (i > 1), 0))) AS c FROM wh GROUP BY ALL)
+ SELECT video, frame, round(least(0.45, 0.45::DOUBLE * least(1, ratio / 9) * (1 - least(1, dev / 36)) * c), 6) AS confidence, a AS first_frame, b AS last_frame, round(c, 6) AS consistency FROM wh JOIN cs USING (video, run) WHERE k >= 3""")
+def recovered_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak candidates that runs of frames confirm, and how sure they make them."""
+    n = F.col("n")
+    c = states(spark, sf_dir).groupBy((F.col("u") % 10).alias("video"), F.floor(F.col("t") / 7200).cast("long").alias("frame")).agg(F.max("id").alias("n"))
+    c = c.select("video", "frame", (n % 200 / 4.0).alias("x"), (n % 90 / 3.0).alias("y"), d(3 + n % 9).alias("ratio"), d(n % 40).alias("deviation"), (5 + n % 12).alias("gap_frames"), F.when(n % 8 == 0, "not_on_pitch").alias("visibility"))
+    out = observability.confirmed(c, V)
+    return out.select("video", "frame", F.round("confidence", 6).alias("confidence"), "first_frame", "last_frame", F.round("consistency", 6).alias("consistency"))

@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from touchline.plans import entities, evidence, frames, match, review, streams, tracking, tracks  # noqa: F401
+    from touchline.plans import canonical, entities, evidence, frames, match, review, streams, tracking, tracks  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -14,6 +14,11 @@ SCHEMAS = {
     "calibration_valid boolean!, calibration_propagated boolean!, segment_kind string!, chunk_index int",
     "tracks": "video_id string!, track_id int!, object_class string!, first_frame int!, last_frame int!, n_observations int!, team_id string!, "
     "team_confidence float!, role string!, role_confidence float!, jersey_number int, jersey_confidence float!, display_name string!",
+    "calibration": "video_id string!, frame_idx int!, timestamp_s double!, homography array<double>, confidence float!, reprojection_error_m float!, n_keypoints int!, n_inliers int!, "
+    "smoothed boolean!, segment_kind string!",
+    "game_state": "video_id string!, frame_idx int!, timestamp_s double!, match_clock_s double, object_class string!, track_id int, team_id string!, role string!, jersey_number int, "
+    "jersey_confidence float!, bbox_x1 float!, bbox_y1 float!, bbox_x2 float!, bbox_y2 float!, image_x float!, image_y float!, pitch_x float, pitch_y float, pitch_x_norm float, pitch_y_norm float, "
+    "detection_confidence float!, tracking_confidence float!, team_confidence float!, calibration_confidence float!, interpolated boolean!, validation_status string!, segment_kind string!, source string!",
     "possession": "start_frame int!, end_frame int!, start_time_s double!, end_time_s double!, duration_s double!, state string!, team_id string!, "
     "track_id int, player_name string!, confidence float!, ball_coverage float!",
 }
@@ -34,16 +39,37 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*out)
 
 
-def write_table(df: DataFrame, name: str, path: str, partition_by: tuple[str, ...] = ("video_id",), rows_per_file: int = 5_000_000) -> None:
-    """Canonical table as zstd parquet, partitioned where it has the columns, files of bounded length."""
-    df = conform(df, name)
-    keys = [c for c in partition_by if c in df.columns]
-    writer = df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
-    (writer.partitionBy(*keys) if keys else writer).parquet(path)
+#: Version of the canonical tables; readers refuse another first number.
+VERSION = "1.0.0"
+
 
+def write_table(df: DataFrame, name: str, path: str, partition_by: tuple[str, ...] = ("video_id",), rows_per_file: int = 5_000_000, form: str = "parquet") -> None:
+    """Canonical table as zstd parquet or gzipped JSON lines, partitioned where it has the columns, files of bounded length.
 
-def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    return spark.read.schema(schema(name)).parquet(path)
+    The version of the tables goes into the metadata of every parquet column.
+    """
+    df = conform(df, name)
+    keys = [c for c in partition_by if c in df.columns]
+    if form == "parquet":
+        df = df.select(*(F.col(c).alias(c, metadata={"table_version": VERSION}) for c in df.columns))
+    writer = df.write.mode("overwrite").option("compression", "zstd" if form == "parquet" else "gzip").option("maxRecordsPerFile", rows_per_file)
+    (writer.partitionBy(*keys) if keys else writer).format(form).save(path)
+
+
+def read_table(spark: SparkSession, name: str, path: str, form: str = "parquet") -> DataFrame:
+    """A canonical table read back under its declared schema; parquet of another main version, or without one, stops with an error."""
+    if form == "parquet":
+        found = {f.metadata.get("table_version") for f in spark.read.parquet(path).schema if f.name != "video_id"}  # folders keep no metadata
+        if {str(v).split(".")[0] for v in found} != {VERSION.split(".")[0]}:
+            raise ValueError(f"{path} has table version {sorted(map(str, found))}, not {VERSION}")
+    return spark.read.format(form).schema(schema(name)).load(path)
+
+
+def homographies(calibration: DataFrame) -> DataFrame:
+    """Canonical calibration rows with `valid`: whether a frame has a homography; one that hasn't nine entries stops the query."""
+    h = F.col("homography")
+    checked = F.when(h.isNull() | (F.size(h) == 0), None).when(F.size(h) == 9, h).otherwise(F.raise_error(F.lit("a homography has not nine entries")).cast("array<double>"))
+    return calibration.withColumn("homography", checked).withColumn("valid", F.col("homography").isNotNull())
 
 
 def read_jsonl(spark: SparkSession, path: str, ddl: str) -> DataFrame:
