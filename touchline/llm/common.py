@@ -37,6 +37,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores at its end until no column of a table is called so, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: A key is hot if more than this part of all rows, and more than 1,000 rows, have it; so at most this many keys are hot.
 HOT_PART = 1000
 

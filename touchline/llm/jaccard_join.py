@@ -317,7 +317,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
         F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("rep_a"), F.lit(None).cast("long").alias("rep_b"),
     )
     asked = materialise(members.unionByName(centers), "asked")
-    wanted = docs.join(asked.select("id").distinct(), "id", "left_semi")
+    # Written, so that the planner knows its size: while it is small no text is shuffled to be left out.
+    wanted = docs.join(materialise(asked.select("id").distinct(), "wanted"), "id", "left_semi")
     placed = wanted.join(asked, "id").select("a", "part", "b", "node", "rep_a", "rep_b", "text")
     together = placed.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     return together.mapInArrow(run, "a long, b long")
@@ -440,5 +441,5 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     Rows with a null id and rows that repeat a kept id stay, columns are kept as they are, an empty table stays empty.
     """
     found = jaccard_components(docs, k, num, den)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
