@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import materialise
+from touchline.llm.common import fresh, materialise
 
 _SLOTS = 4
 _MAX_KICKS = 200
+#: About the most distinct texts of a shard.
+SHARD_ROWS = 200_000
 ENTRY = "digest binary, keep_id long, group_size long"
 
 
@@ -168,7 +170,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of a table: (digest, keep_id, group_size), one live entry per distinct text."""
     rows = digests(docs, id_col, text_col).select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return rows.mapInArrow(_combine, ENTRY).repartition("digest").mapInArrow(_index, ENTRY)
+    # A shard's filter and entries are in memory, so shards grow in number and not in size.
+    shards = max(-(-docs.count() // SHARD_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.mapInArrow(_combine, ENTRY).repartition(shards, "digest").mapInArrow(_index, ENTRY)
 
 
 def insert(index: DataFrame, docs: DataFrame) -> DataFrame:
@@ -220,9 +224,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns; of rows that repeat both id and text one stays."""
-    index = materialise(build_index(docs), "digests").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    keyed = docs.withColumn("__digest", content_key()).alias("d")
-    same = F.expr("d.__digest = i.__digest and d.doc_id <=> i.__keep")
-    kept = keyed.join(index.alias("i"), same, "left_semi")
-    return kept.repartition("__digest").dropDuplicates(["__digest"]).select(*docs.columns)
+    """The documents that stay, with their columns; of rows that repeat both id and text one stays.
+
+    What goes is found on narrow rows: keys of rows with another id than the one that stays, and keys that several rows
+    share. Texts are shuffled only for the second kind, and while the first is small the planner broadcasts it.
+    """
+    key, id_, n = fresh(docs.columns, "digest_", "id_", "n_")
+    index = materialise(build_index(docs), "digests").select(F.col("digest").alias(key), "keep_id")
+    rows = digests(docs).select(F.col("digest").alias(key), F.col("id").alias(id_)).groupBy(key, id_).agg(F.count("*").alias(n))
+    marked = materialise(rows.join(index, key).where(~F.col(id_).eqNullSafe(F.col("keep_id")) | (F.col(n) > 1)).select(key, id_, n, F.col(id_).eqNullSafe(F.col("keep_id")).alias("stays")), "marked")
+    keyed = docs.withColumn(key, content_key())
+    same = lambda m: (keyed[key] == m[key]) & keyed["doc_id"].cast("long").eqNullSafe(m[id_])
+    once = marked.where("stays")
+    twice = keyed.join(once, same(once), "left_semi").dropDuplicates([key])
+    return keyed.join(marked, same(marked), "left_anti").unionByName(twice).select(*docs.columns)
