@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import materialise
+from touchline.llm.common import fresh, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -205,11 +205,12 @@ def draw(
     of docs is replaced; an empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c != "shard"]
+    own, row, copy, order, of = fresh(columns, "content_", "row_", "copy_", "order_", "of_")
     content = F.xxhash64("doc_id", "source", "text")
-    rows = materialise(docs.select(*columns).withColumn("__content", content).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    dealt = _deal(rows, ["__content", "__row"], weights, most, shards, block_docs, seed)
-    chosen = dealt.where("copies > 0").select("__row", F.posexplode("shards").alias("__copy", "shard"))
-    order = F.xxhash64("__content", "__copy", "shard", F.lit(seed))
-    drawn = rows.join(chosen, "__row").withColumn("__order", order)
-    place = ["shard", "__order", "__row"]
+    rows = materialise(docs.select(*columns).withColumn(own, content).withColumn(row, F.monotonically_increasing_id()), "rows")
+    dealt = _deal(rows, [own, row], weights, most, shards, block_docs, seed)
+    # Written, so that the planner knows its size: while it is small no text is shuffled to meet its copies.
+    chosen = materialise(dealt.where("copies > 0").select(F.col(row).alias(of), F.posexplode("shards").alias(copy, "shard")), "chosen")
+    drawn = rows.join(chosen, F.col(row) == F.col(of)).withColumn(order, F.xxhash64(own, copy, "shard", F.lit(seed)))
+    place = ["shard", order, row]
     return drawn.repartitionByRange(*place).sortWithinPartitions(*place).select(*columns, "shard")
