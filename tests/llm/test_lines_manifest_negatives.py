@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import hard_negatives, line_dedup, merkle
+from touchline.llm import exact_dedup, hard_negatives, line_dedup, merkle, mixing
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -233,3 +233,26 @@ def test_no_vectors_no_anchors(spark):
     huge = spark.createDataFrame([(0, [1e30], 0)], none.schema)
     with pytest.raises(ValueError, match="64 bits"):
         hard_negatives.mine(huge, F.col("id") % 50 == 0)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns called like the ones that exact dedup and mixing add come back as they were."""
+    names = "doc_id long, text string, source string, digest_ string, id_ string, n_ string, content_ string, row_ string, copy_ string, order_ string, of_ string, __digest string, __row string, __copy string"
+    rows = [(i % 7, f"text {i % 5} " * 3, "s", *("mine%d" % i,) * 11) for i in range(20)] + [(1, "same row", "s", *("mine",) * 11)] * 3
+    docs = spark.createDataFrame(rows, names)
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r)
+    out = [tuple(r) for r in kept.collect()]
+    assert len(out) == len(groups) and all(r in rows and r[0] == max(x[0] for x in groups[r[1]]) for r in out)
+    drawn = mixing.draw(docs)
+    assert drawn.columns == [*docs.columns, "shard"] and {tuple(r)[:-1] for r in drawn.collect()} <= set(rows)
+
+
+def test_drop_copies_with_null_ids_and_nothing(spark):
+    rows = [(None, "a"), (None, "a"), (3, "a"), (None, "b"), (None, "b"), (4, None), (5, "")]
+    out = sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [("3", "a"), ("5", ""), ("None", "b")]
+    assert exact_dedup.drop_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
