@@ -151,8 +151,9 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 def search(vectors: DataFrame, is_query, top: int = 20, settings: Settings = Settings(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's `top` rows of largest inner product, found among all rows but itself.
 
-    is_query is a condition on vec_id. Scores are exact; ties go to the smaller vec_id, and of rows that repeat a vec_id
-    each is a candidate. Vectors that are null, zero, non-finite or of another length take no part.
+    is_query is a condition on vec_id. Scores are exact; ties go to the smaller vec_id. Of rows that repeat a vec_id each is a
+    query of its own and a candidate of all others. Vectors that are null, zero, non-finite or of another length take no
+    part; other columns are ignored, and an empty table gives an empty result.
     """
     s, spark = settings, vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
@@ -190,35 +191,37 @@ def search(vectors: DataFrame, is_query, top: int = 20, settings: Settings = Set
             cols = [batch.column(0), pa.array([r.tobytes() for r in x]), pa.array(near.astype(np.int32)), pa.array(length), pa.array([r.tobytes() for r in pack(codes)])]
             yield pa.RecordBatch.from_arrays(cols, ["vec_id", "v", "near", "length", "codes"])
 
-    coded = materialise(rows.mapInArrow(encode, "vec_id long, v binary, near int, length double, codes binary"), "coded")
+    coded = rows.mapInArrow(encode, "vec_id long, v binary, near int, length double, codes binary")
+    coded = materialise(coded.withColumn("row", F.monotonically_increasing_id()), "coded")  # tells rows that repeat an id apart
     cell = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n_blocks)).cast("int")
     left = coded.withColumn("block", cell).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = coded.where(is_query).select("vec_id", "v").withColumn("qg", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(groups)).cast("int"))
+    queries = coded.where(is_query).select("vec_id", "row", "v").withColumn("qg", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(groups)).cast("int"))
 
     def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             qg = batch.column("qg").to_numpy()
             for g in np.unique(qg):
                 mine = pa.array(qg == g)
-                ids = batch.column("vec_id").filter(mine).to_numpy()
+                ids, own = (batch.column(c).filter(mine).to_numpy().tobytes() for c in ("vec_id", "row"))
                 body = b"".join(batch.column("v").filter(mine).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([ids.tobytes()]), pa.array([body])], ["qg", "ids", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([ids]), pa.array([own]), pa.array([body])], ["qg", "ids", "own", "body"])
 
-    packed = queries.select("vec_id", "v", "qg").mapInArrow(pack_queries, "qg int, ids binary, body binary")
+    packed = queries.select("vec_id", "row", "v", "qg").mapInArrow(pack_queries, "qg int, ids binary, own binary, body binary")
     right = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def scan(key, vectors_: pd.DataFrame, queries_: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
-        none = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        names = ("query_id", "query_row", "vec_id", "score")
+        none = pd.DataFrame(dict(zip(names, (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0)), strict=True)))
         if vectors_.empty or queries_.empty:
             return none
         vectors_ = vectors_.sort_values("vec_id", kind="stable")
-        ids, x = vectors_["vec_id"].to_numpy(), np.frombuffer(b"".join(vectors_["v"])).reshape(-1, d)
+        ids, row, x = vectors_["vec_id"].to_numpy(), vectors_["row"].to_numpy(), np.frombuffer(b"".join(vectors_["v"])).reshape(-1, d)
         near, length = vectors_["near"].to_numpy(), vectors_["length"].to_numpy(np.float32)
         codes = np.frombuffer(b"".join(vectors_["codes"]), np.uint8).reshape(len(ids), -1).T.copy()
         out = []
-        for qids, body in zip(queries_["ids"], queries_["body"], strict=True):
-            qids, q = np.frombuffer(qids, np.int64), np.frombuffer(body).reshape(-1, d)
+        for qids, own, body in zip(queries_["ids"], queries_["own"], queries_["body"], strict=True):
+            qids, own, q = np.frombuffer(qids, np.int64), np.frombuffer(own, np.int64), np.frombuffer(body).reshape(-1, d)
             coarse = (q @ m.centroids.T).astype(np.float32)
             for at in range(0, len(q), 256):
                 lut = tables(q[at : at + 256], m)
@@ -232,13 +235,13 @@ def search(vectors: DataFrame, is_query, top: int = 20, settings: Settings = Set
                         bar = np.partition(guess, len(ids) - s.rerank)[len(ids) - s.rerank]
                         above, level = np.flatnonzero(guess > bar), np.flatnonzero(guess == bar)
                         take = np.concatenate([above, level[: s.rerank - len(above)]])  # of equal codes the smaller ids
-                    take = take[ids[take] != qids[at + i]]
+                    take = take[row[take] != own[at + i]]
                     exact = x[take] @ q[at + i]
                     best = np.lexsort((ids[take], -exact))[:top]
-                    out.append((np.full(len(best), qids[at + i]), ids[take][best], exact[best]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else none
+                    out.append((np.full(len(best), qids[at + i]), np.full(len(best), own[at + i]), ids[take][best], exact[best]))
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else none
 
     cells = left.groupBy("block", "qg").cogroup(right.groupBy("block", "qg"))
-    found = cells.applyInPandas(scan, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = cells.applyInPandas(scan, "query_id long, query_row long, vec_id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
