@@ -133,16 +133,19 @@ def scan(page: str) -> Iterator[tuple[str | None, str, bool, str]]:
         yield page[max(at, 0) :], "", False, ""
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
+def blocks(page: str) -> Iterator[tuple[int, str, bool, bool, bool, float]]:
     """(path, text, in the article, apart, heading, share of link text) of each block of a page, and of each place ('', path) opened.
 
-    A place that opens comes as a block without text. Character references are decoded and white space is one space.
+    A place that opens comes as a block without text. Character references are decoded and white space is one space. A path
+    is a 64-bit hash of the places around, so that deep nesting costs no more than flat; an end tag that closes nothing is
+    known by a count of open ones.
     """
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # tag, path, article, apart, header
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, path, article, apart, header
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked, anchor, heading = 0, 0, False
 
-    def close() -> Iterator[tuple[str, str, bool, bool, bool, float]]:
+    def close() -> Iterator[tuple[int, str, bool, bool, bool, float]]:
         nonlocal linked, parts
         if parts:
             raw = "".join(parts)
@@ -170,9 +173,12 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
         if tag in _VOID or tag not in _PLACES:
             continue
         if ends:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if at:
-                del stack[at:]
+            if open_[tag]:
+                while True:
+                    gone = stack.pop()[0]
+                    open_[gone] -= 1
+                    if gone == tag:
+                        break
                 anchor, heading = 0, False
             continue
         name, apart = _kind(tag, attributes)
@@ -180,16 +186,18 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
         if tag == "body":
             apart, above = False, False
             del stack[1:]
-            path = ""
+            open_.clear()
+            path = 0
         inside = article or tag in ("article", "main")
         header = header or (tag == "header" and not inside)
         apart = above or (apart and not (tag in ("article", "main") and not article)) or (tag == "header" and not inside)
-        stack.append((tag, f"{path}>{name}", inside, apart, header or tag == "header"))
+        stack.append((tag, xxhash.xxh3_64_intdigest(f"{path}>{name}"), inside, apart, header or tag == "header"))
+        open_[tag] += 1
         yield stack[-1][1], "", inside, apart, False, 0.0
     yield from close()
 
 
-def _token(path: str, text: str) -> int:
+def _token(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}") - 2**63
 
 
@@ -213,7 +221,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 texts = [text for _, text, article, *_ in found if text and article] or [text for _, text, *_ in found if text]
                 if not texts:
                     continue
-                page = _token("", "\n".join(texts))
+                page = _token(0, "\n".join(texts))
                 seen = Counter(_token(path, text) for path, text, *_ in found)
                 seen[_PAGE] = 1
                 rows += [(host, page, token, times) for token, times in seen.items()]
