@@ -139,9 +139,13 @@ def _digest_holds(said: str, block: bytes) -> bool | None:
 
 def _parse(data: bytes, at: int, proven: bool = False) -> tuple[dict | None, bytes, int, str | None]:
     """(headers, block, end, what is wrong) of a record that begins at a place; proven: only with a block digest that holds."""
-    end = data.find(b"\r\n\r\n", at)
-    if not data.startswith(_VERSION, at) or end < 0:
-        return None, b"", at, "no version line" if end >= 0 else "no end of headers"
+    if not data.startswith(_VERSION, at):
+        return None, b"", at, "no version line"
+    # Headers end before the next version line; no search goes on beyond it, so many broken ones in a row cost no more than one.
+    limit = data.find(b"\r\n" + _VERSION, at + 1)
+    end = data.find(b"\r\n\r\n", at, limit + 2 if limit >= 0 else len(data))
+    if end < 0:
+        return None, b"", at, "no end of headers"
     head = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
