@@ -103,15 +103,18 @@ def _shard_trainer(s: Settings):
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> dict[int, float]:
     """Sparse weights {bucket: weight}, at most 2**bits + 1 of them. labels: doc_id, toxic; a null label isn't used.
 
-    A document with contradicting labels counts once for each. Without labels of both classes there is nothing to tell
-    apart, and the weights are empty.
+    A document with contradicting labels counts once for each; of rows that repeat an id one text is read, that of the least
+    content hash, so training reads max_rows texts at most. Without labels of both classes there is nothing to tell apart,
+    and the weights are empty.
     """
     s = settings
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
     known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.max_rows), "labels")
     if known.agg(F.count_distinct("y")).first()[0] < 2:
         return {}
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_rows labels
+    ids = F.broadcast(known.select("doc_id").distinct())  # at most max_rows
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = texts.join(F.broadcast(known), "doc_id")
     sample = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(s.shards)))
     learned = sample.groupBy("shard").applyInPandas(_shard_trainer(s), "bucket long, w double")
     found = learned.groupBy("bucket").agg((F.sum("w") / s.shards).alias("w")).collect()  # at most 2**bits + 1 rows
