@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, hard_negatives, line_dedup, merkle, mixing
+from touchline.llm import ann, exact_dedup, hard_negatives, html_extract, line_dedup, merkle, mixing, toxicity, warc
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -256,3 +256,49 @@ def test_drop_copies_with_null_ids_and_nothing(spark):
     out = sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert out == [("3", "a"), ("5", ""), ("None", "b")]
     assert exact_dedup.drop_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_deep_pages_and_broken_headers_cost_linear_time():
+    import time
+    import tracemalloc
+
+    n = 100_000
+    for page in ("<div>" * n, "<div>a" * n, "<div>" * n + "</nav>" * n, "<div><p>" * n + "</div>" * n, "<main>" + "<section>x</ul>" * n):
+        start = time.time()
+        tracemalloc.start()
+        for _ in html_extract.blocks(page):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.time() - start < 20 and peak < 200_000_000, page[:20]
+    version = b"WARC/1.0\r\n"
+    for data in (version * n, (version + b"x: y\r\n") * n, (version + b"a: b\r\n") * n + b"\r\n\r\n"):
+        start = time.time()
+        found = list(warc._records(data))
+        assert time.time() - start < 20 and all(f[2] is None for f in found)
+
+
+def test_search_with_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    rows += [(0, rows[0][1]), (0, rows[9][1]), (20, rows[20][1]), (None, rows[1][1])]
+    df = spark.createDataFrame([(*r, 1, 0.5) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
+    got = defaultdict(list)
+    for r in ann.search(df, "vec_id % 20 = 0", top=5).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, round(r.score, 9)))
+    known = [r for r in rows if r[0] is not None]
+    for q in (0, 20, 40):
+        want = []
+        for a, (i, v) in enumerate(known):
+            if i == q:
+                scored = sorted((-float(np.dot(v, w)), j) for b, (j, w) in enumerate(known) if b != a)
+                want += [(k, j, round(-s, 9)) for k, (s, j) in enumerate(scored[:5], 1)]
+        assert sorted(got[q]) == sorted(want)
+
+
+def test_training_reads_one_text_an_id(spark):
+    docs = spark.createDataFrame([(i, f"bad word {i % 3}" if i % 2 else f"good thing {i % 3}") for i in range(1, 60)] + [(7, f"copy {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels)
+    plan = toxicity.train(docs.repartition(5), labels)
+    assert plan == toxicity.train(docs, labels)
