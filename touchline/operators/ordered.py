@@ -40,18 +40,20 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], b
     v = F.col(value).cast("double")
     known = rows.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy(*by, "__v").agg(F.count("*").alias("__n"))
     known = materialise(known, "distinct-values")
-    ends = known.groupBy(*by).agg(F.sum("__n").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    ends = known.groupBy(*by).agg(F.sum("__n").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")).where("n > 0")
     share = F.explode(F.array(*(F.lit(float(s)) for s in shares)))
     wanted = ends.select("*", share.alias("share")).withColumn("at", F.col("share") * (F.col("n") - 1))
     ranks = wanted.select(*by, "lo", "hi", F.explode(F.array(F.floor("at").cast("long"), F.ceil("at").cast("long"))).alias("rank")).distinct()
     open_ = materialise(ranks.withColumn("below", F.lit(0).cast("long")), "ranks")
     same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    # Without groups the ranks are a handful of rows; with groups they are joined on them.
+    few_rows = (lambda df: df) if by else F.broadcast
     found = None
     while True:
         # `lo` and `hi` are inclusive; bin bounds are values, so no value falls between two bins.
         step = (F.col("r.hi") - F.col("r.lo")) / bins
         bin_ = F.when(step > 0, F.least(F.lit(bins - 1), F.floor((F.col("v.__v") - F.col("r.lo")) / step))).otherwise(0)
-        inside = known.alias("v").join(F.broadcast(open_.alias("r")), [*same("v", "r"), F.col("v.__v").between(F.col("r.lo"), F.col("r.hi"))])
+        inside = known.alias("v").join(few_rows(open_.alias("r")), [*same("v", "r"), F.col("v.__v").between(F.col("r.lo"), F.col("r.hi"))])
         counts = inside.groupBy(*(F.col(f"r.{c}").alias(c) for c in by), "r.rank", "r.below", bin_.alias("bin")).agg(
             F.sum("v.__n").alias("here"), F.count("*").alias("distinct"), F.min("v.__v").alias("lo"), F.max("v.__v").alias("hi")
         )
@@ -63,7 +65,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], b
         open_ = hit.where((F.col("distinct") > few) & (F.col("lo") < F.col("hi"))).drop("distinct")
         if open_.isEmpty():
             break
-    rest = known.alias("v").join(F.broadcast(found.alias("r")), [*same("v", "r"), F.col("v.__v").between(F.col("r.lo"), F.col("r.hi"))])
+    rest = known.alias("v").join(few_rows(found.alias("r")), [*same("v", "r"), F.col("v.__v").between(F.col("r.lo"), F.col("r.hi"))])
     w = Window.partitionBy(*(f"r.{c}" for c in by), "r.rank").orderBy("v.__v")
     upto = F.col("r.below") + F.sum("v.__n").over(w)
     hits = rest.select(*(F.col(f"r.{c}").alias(c) for c in by), F.col("r.rank").alias("rank"), F.col("v.__v").alias("value"), upto.alias("upto"), (upto - F.col("v.__n")).alias("from"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from touchline.operators.ordered import quantiles
+
 
 def _w(by: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -121,9 +123,12 @@ def off_median(df: DataFrame, by: list[str], order: list[str], value: str, half:
 
 
 def cut_threshold(df: DataFrame, value: str, mads: float = 8.0) -> DataFrame:
-    """One row: the larger of median + mads * MAD and the 99th percentile."""
-    middle = df.agg(F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.99)).alias("p99"))
-    spread = df.crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    """One row: the larger of median + mads * MAD and the 99th percentile, from exact quantiles that no task sees whole."""
+    pick = lambda q, share, name: q.where(F.abs(F.col("share") - share) < 1e-9).select(F.col("quantile").alias(name))
+    first = quantiles(df.select(value), [], value, [0.5, 0.99])
+    middle = pick(first, 0.5, "median").crossJoin(pick(first, 0.99, "p99"))  # one row each
+    away = df.select(value).crossJoin(F.broadcast(middle)).select(F.abs(F.col(value) - F.col("median")).alias("away"))
+    spread = pick(quantiles(away, [], "away", [0.5]), 0.5, "mad")
     return middle.crossJoin(spread).select("median", "mad", F.greatest(F.col("median") + mads * F.col("mad"), "p99").alias("threshold"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import joins, sequence
+from touchline.operators import detection, joins, sequence
 from touchline.plans.registry import query
 from touchline.sources.tables import boxes, table
 
@@ -129,14 +129,10 @@ def identity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
  p AS (SELECT class, hits / CAST(total AS DOUBLE) AS recall, max(hits / CAST(n AS DOUBLE)) OVER (PARTITION BY class ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM c),
  g AS (SELECT class, k, coalesce(max(CASE WHEN recall >= k / 100.0 - 1e-12 THEN best END), 0) AS pr FROM p, range(101) t(k) GROUP BY class, k) SELECT class, round(avg(pr), 6) AS ap FROM g GROUP BY class""")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """101-point interpolated average precision per class. A row serves the recall points up to its own and above the row before."""
-    w = Window.partitionBy("class").orderBy(F.desc("score"), "frame", "id")
-    s = boxes(spark, sf_dir).select(F.col("label").alias("class"), "score", (F.col("part") % 3 == 0).cast("long").alias("tp"), "frame", "id")
-    c = s.withColumn("hits", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(w)).withColumn("total", F.sum("tp").over(Window.partitionBy("class")))
-    p = c.select("class", "n", (F.col("hits") / F.col("total")).alias("recall"), F.max(F.col("hits") / F.col("n")).over(Window.partitionBy("class").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
-    point = F.floor((F.col("recall") + 1e-12) * 100)
-    before = F.coalesce(F.lag(point).over(Window.partitionBy("class").orderBy("n")), F.lit(-1))
-    return p.withColumn("points", point - before).groupBy("class").agg(r(F.sum(F.col("best") * F.col("points")) / 101, 6).alias("ap"))
+    """101-point interpolated average precision per class, ranked over range partitions."""
+    s = boxes(spark, sf_dir).select(F.col("label").alias("class"), "score", (F.col("part") % 3 == 0).alias("hit"), "frame", "id")
+    sizes = s.groupBy("class").agg(F.count_if("hit").alias("n_truth"))
+    return detection.average_precisions(s, sizes, ["class"], ["frame", "id"]).select("class", r(F.col("ap"), 6).alias("ap"))
 
 
 @query(""" SELECT supp % 5 AS domain, count_if(part % 3 = 0) AS tp, count_if(part % 3 = 1) AS fp, count_if(part % 3 = 2) AS fn,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import expr
 from touchline.operators import joins
+from touchline.operators.ordered import quantiles
 from touchline.plans.registry import query
 from touchline.sources.tables import states, table
 
@@ -65,8 +66,10 @@ def quota_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(""" SELECT round(quantile_cont(v, 0.1), 4) AS p10, round(quantile_cont(v, 0.6), 4) AS p60, round(quantile_cont(v, 0.85), 4) AS p85, round(quantile_cont(v, 0.9), 4) AS p90 FROM ev WHERE state <> 'error'""")
 def sampling_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("v", F.array(*map(F.lit, (0.1, 0.6, 0.85, 0.9))))
-    return states(spark, sf_dir).where("state <> 'error'").agg(p.alias("p")).select(*(r(F.col("p")[i]).alias(c) for i, c in enumerate(("p10", "p60", "p85", "p90"))))
+    """Quantiles of a whole table, searched by counts in ranges; no task holds all values."""
+    shares = {"p10": 0.1, "p60": 0.6, "p85": 0.85, "p90": 0.9}
+    q = quantiles(states(spark, sf_dir).where("state <> 'error'"), [], "v", list(shares.values()))
+    return q.agg(*(r(F.max(F.when(F.abs(F.col("share") - s) < 1e-9, F.col("quantile")))).alias(c) for c, s in shares.items()))
 
 
 @query(""", g AS (SELECT u, list_filter([CASE WHEN row_number() OVER w % 3 = 1 THEN 'stride' END, CASE WHEN state IS DISTINCT FROM lag(state) OVER w THEN 'transition' END, CASE WHEN v > 90 THEN 'hard' END], lambda x: x IS NOT NULL) AS f, id
