@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,17 +53,17 @@ def _weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
     return np.where(np.abs(z) <= s.l1, 0.0, -(z - np.sign(z) * s.l1) / rate)
 
 
-def _ftrl(features: np.ndarray, ends: np.ndarray, labels: list[int], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def _ftrl(examples: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights) after all rounds of FTRL-proximal; bucket 2**bits is the bias, which is not regularised.
 
-    features holds the distinct ones of each example in a row, ends where each example's stop.
+    An example is its distinct features and its label.
     """
     size = (1 << s.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     free = replace(s, l1=0.0, l2=0.0)
     for _ in range(s.rounds):
-        for a, b, y in zip(np.append(0, ends[:-1]), ends, labels, strict=True):
-            x = np.append(features[a:b], 1 << s.bits)
+        for x, y in examples:
+            x = np.append(x, 1 << s.bits)
             w = _weights(z[x], n[x], s)
             w[-1] = _weights(z[-1:], n[-1:], free)[0]
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
@@ -79,23 +78,24 @@ def _ftrl(features: np.ndarray, ends: np.ndarray, labels: list[int], s: Settings
 
 
 def _shard_trainer(s: Settings):
-    """Trains on one shard, a bounded group of doc_id, y, text rows."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        order = np.random.default_rng(11).permutation(len(group))
-        group = group.sort_values(["doc_id", "y"]).iloc[order]
-        texts, labels = pa.array(group["text"], pa.string()), group["y"].tolist()
-        del group
-        parts, counts = [], []
-        for _, count, f, row in feature_slices(texts, s.bits):
-            pair = np.unique(row << s.bits | f)
-            parts.append((pair & ((1 << s.bits) - 1)).astype(np.int32))
-            counts.append(np.bincount(pair >> s.bits, minlength=count))
-        del texts
-        features, ends = np.concatenate(parts), np.cumsum(np.concatenate(counts))
-        del parts
-        buckets, w = _ftrl(features, ends, labels, s)
-        return pd.DataFrame({"bucket": buckets, "w": w})
+    """Trains on one shard, a bounded group of doc_id, y, text rows.
+
+    Texts stay in their Arrow buffers, and the features of a run of texts are one array of 32-bit numbers that its examples
+    are cut from, so a shard needs about its texts and four bytes a feature.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        examples: list[np.ndarray] = []
+        for texts in group.column("text").chunks:
+            for _, count, f, row in feature_slices(texts, s.bits):
+                pair = np.unique(row << s.bits | f)
+                ends = np.cumsum(np.bincount(pair >> s.bits, minlength=count))
+                features = (pair & ((1 << s.bits) - 1)).astype(np.int32)
+                examples += np.split(features, ends[:-1])
+        y = group.column("y").to_numpy()
+        order = np.lexsort((y, group.column("doc_id").to_numpy()))[np.random.default_rng(11).permutation(len(y))]
+        buckets, w = _ftrl([(examples[i], int(y[i])) for i in order], s)
+        return pa.table({"bucket": pa.array(buckets, pa.int64()), "w": pa.array(w, pa.float64())})
 
     return run
 
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = texts.join(F.broadcast(known), "doc_id")
     sample = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(s.shards)))
-    learned = sample.groupBy("shard").applyInPandas(_shard_trainer(s), "bucket long, w double")
+    learned = sample.select("shard", "doc_id", "y", "text").groupBy("shard").applyInArrow(_shard_trainer(s), "bucket long, w double")
     found = learned.groupBy("bucket").agg((F.sum("w") / s.shards).alias("w")).collect()  # at most 2**bits + 1 rows
     return {r["bucket"]: r["w"] for r in found}
 
