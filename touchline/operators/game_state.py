@@ -211,23 +211,37 @@ def possession_spans(decided: DataFrame, shortest: float = 0.16) -> DataFrame:
     )
 
 
-def physical_profiles(state: DataFrame, fps: float = 25.0, gap: float = 0.5) -> DataFrame:
-    """Distance, speeds and sprints of every tracked person: usable rows cut into segments, smoothed, measured, summed.
+def track_speeds(state: DataFrame, gap: float = 0.5) -> DataFrame:
+    """(video_id, track_id, segment, frame_idx, timestamp_s, smooth_x, smooth_y, speed) of the rows of people that measures may use.
 
-    Usable are valid rows with a place on the pitch. Rows further apart than `gap` seconds start a new segment; segments of one row
-    have no interval. Tracks without a usable row are there with zeros. Coverage is the usable share of a track's rows.
+    Usable are valid rows with a place on the pitch. Rows further apart than `gap` seconds start a new segment, which is smoothed
+    on its own; segments of fewer than three rows are at rest.
     """
     track = ["video_id", "track_id"]
-    people = state.where("object_class <> 'ball' and track_id is not null")
-    usable = F.col("validation_status").isin(*PHYSICAL) & F.col("pitch_x").isNotNull() & F.col("pitch_y").isNotNull()
     d = lambda c: F.col(c).cast("double").alias(c)
-    rows = people.where(usable).select(*track, "frame_idx", d("timestamp_s"), d("pitch_x"), d("pitch_y"))
+    rows = _people(state).where("usable").select(*track, "frame_idx", d("timestamp_s"), d("pitch_x"), d("pitch_y"))
     step = F.col("timestamp_s") - F.lag("timestamp_s").over(sequence._w(track, ["frame_idx"]))
     cut = sequence.number_runs(rows.withColumn("__step", step), track, ["frame_idx"], F.col("__step") > gap, "segment").drop("__step")
+    smooth = motion.smooth_tracks(cut, [*track, "segment"], "timestamp_s", "pitch_x", "pitch_y")
+    return smooth.select(*track, "segment", "frame_idx", "timestamp_s", "smooth_x", "smooth_y", "speed")
+
+
+def _people(state: DataFrame) -> DataFrame:
+    usable = F.col("validation_status").isin(*PHYSICAL) & F.col("pitch_x").isNotNull() & F.col("pitch_y").isNotNull()
+    return state.where("object_class <> 'ball' and track_id is not null").withColumn("usable", usable)
+
+
+def physical_profiles(state: DataFrame, gap: float = 0.5) -> DataFrame:
+    """Distance, speeds and sprints of every tracked person: track_speeds() measured in intervals and summed.
+
+    Segments of one row have no interval. Tracks without a usable row are there with zeros. Coverage is the usable share of a
+    track's rows.
+    """
+    track = ["video_id", "track_id"]
     segment = [*track, "segment"]
-    smooth = motion.smooth_tracks(cut, segment, "timestamp_s", "pitch_x", "pitch_y")
+    smooth = materialise(track_speeds(state, gap), "speeds")
     steps = materialise(motion.intervals(smooth, segment, ["frame_idx"], "timestamp_s", "smooth_x", "smooth_y", "speed"), "intervals")
-    whole = people.groupBy(*track).agg(F.count("*").alias("n_rows"), F.count_if(usable).alias("n_usable"))
-    span = cut.groupBy(*segment).agg((F.max("timestamp_s") - F.min("timestamp_s")).alias("t")).groupBy(*track).agg(F.sum("t").alias("duration"))
+    whole = _people(state).groupBy(*track).agg(F.count("*").alias("n_rows"), F.count_if("usable").alias("n_usable"))
+    span = smooth.groupBy(*segment).agg((F.max("timestamp_s") - F.min("timestamp_s")).alias("t")).groupBy(*track).agg(F.sum("t").alias("duration"))
     tracks = whole.join(span, track, "left").na.fill(0.0, ["duration"])
     return motion.profiles(tracks, steps, track, segment)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.operators import game_state, match_events
+from touchline.operators import game_state, match_events, profiles
 from touchline.operators.staging import materialise
 from touchline.plans.registry import query
 from touchline.plans.tracking import _calibration, _observations
@@ -23,7 +23,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     team = F.when(F.col("u") % 7 == 0, "unknown").when(F.col("u") % 2 == 0, "A").otherwise("B")
     labels = e.select(
         F.concat(F.lit("v"), F.col("u") % 40).alias("video_id"), F.col("id").alias("track_id"), F.when(F.col("u") % 5 == 0, "referee").otherwise("player").alias("object_class"), team.alias("team_id"), F.lit(0.9).alias("team_confidence"),
-        F.lit("outfield").alias("role"), F.lit(None).cast("int").alias("jersey_number"), F.lit(0.0).alias("jersey_confidence"),
+        F.when(F.col("u") % 11 == 0, "goalkeeper").otherwise("outfield").alias("role"), F.lit(None).cast("int").alias("jersey_number"), F.lit(0.0).alias("jersey_confidence"),
     )
     w = Window.partitionBy(*KEY).orderBy("track_id")
     near = people.withColumn("__r", F.row_number().over(w)).where("__r = 1")
@@ -99,11 +99,7 @@ def match_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return game_state.possession_spans(game_state.possession_by_frame(*_state(spark, sf_dir)))
 
 
-@query()
-def match_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of every family from the game state: ladder, carry, spans, detection on one chain; its parts are tested."""
-    state, frames = _state(spark, sf_dir)
-    spans = materialise(game_state.possession_spans(game_state.possession_by_frame(state, frames)), "spans")
+def _events(state: DataFrame, frames: DataFrame, spans: DataFrame) -> DataFrame:
     ball = game_state.ball_by_frame(state, frames).select(F.col("video_id").alias("video"), "frame_idx", F.col("ball_state").alias("state"))
     videos = frames.select(F.col("video_id").alias("video")).distinct()
     way = F.when(F.crc32(F.col("video").cast("binary")) % 2 == 0, 1).otherwise(-1)
@@ -111,6 +107,53 @@ def match_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_events.detect(spans, ball, directions)
 
 
+@query()
+def match_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every family from the game state: ladder, carry, spans, detection on one chain; its parts are tested."""
+    state, frames = _state(spark, sf_dir)
+    spans = materialise(game_state.possession_spans(game_state.possession_by_frame(state, frames)), "spans")
+    return _events(state, frames, spans)
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Everything that profiles and maps are read from."""
+    state, frames = _state(spark, sf_dir)
+    spans = materialise(game_state.possession_spans(game_state.possession_by_frame(state, frames)), "spans")
+    out = {"state": state, "frames": frames, "spans": spans, "labels": _tables(spark, sf_dir)["labels"], "ball": game_state.ball_by_frame(state, frames)}
+    out |= {"events": materialise(_events(state, frames, spans), "events"), "physical": materialise(game_state.physical_profiles(state), "physical")}
+    out["coverage"] = materialise(profiles.track_coverage(state, out["ball"], out["physical"], out["labels"]), "coverage")
+    return out
+
+
+@query()
+def player_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric of every tracked person with its coverage and confidence; tested against plain counts."""
+    m = _chain(spark, sf_dir)
+    return profiles.player_metrics(m["coverage"], m["physical"], m["events"], m["spans"])
+
+
+@query()
+def keeper_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goalkeepers faced and did with the ball; tested against plain counts."""
+    m = _chain(spark, sf_dir)
+    return profiles.keeper_metrics(profiles.player_metrics(m["coverage"], m["physical"], m["events"], m["spans"]), m["labels"], m["events"])
+
+
+@query()
+def team_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of a team's tracks and its pass accuracy; tested against plain counts."""
+    m = _chain(spark, sf_dir)
+    return profiles.team_metrics(profiles.player_metrics(m["coverage"], m["physical"], m["events"], m["spans"]), m["labels"], m["coverage"])
+
+
+@query()
+def team_heatmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine kinds of heatmap of each team while it holds the ball; tested against plain counts."""
+    m = _chain(spark, sf_dir)
+    points = profiles.heatmap_points(m["state"], m["frames"], m["ball"], m["events"], m["spans"], game_state.track_speeds(m["state"]).select("video_id", "track_id", "frame_idx", "speed"), "in_possession")
+    return profiles.heatmap_grids(points, ["video_id", "kind", "team_id"])
+
+
 @query()
 def physical_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance, speeds and sprints of every track from the game state: segments, smoothing, intervals, profile on one chain; tested against a plain version."""
