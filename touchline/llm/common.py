@@ -29,11 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+#: Bytes of an Arrow batch while a table is written. A task holds a few copies of a batch on both sides, outside the heap.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if int(before.rstrip("bB")) > BATCH_BYTES:
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -105,8 +116,10 @@ def word_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.
     A word's fingerprint is the sum over its bytes of one random number for the byte times one for the place, and then mixed:
     two different words have the same one with a chance of about 2**-64.
     """
-    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if texts.null_count:
+        texts = pa.compute.fill_null(texts, "")
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32  # no copy of the texts
+    offsets = np.frombuffer(texts.buffers()[1] or bytes(8), width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     for first, last in _slices(offsets, size):
         ends = offsets[first : last + 1] - offsets[first]
