@@ -235,6 +235,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     marked = materialise(rows.join(index, key).where(~F.col(id_).eqNullSafe(F.col("keep_id")) | (F.col(n) > 1)).select(key, id_, n, F.col(id_).eqNullSafe(F.col("keep_id")).alias("stays")), "marked")
     keyed = docs.withColumn(key, content_key())
     same = lambda m: (keyed[key] == m[key]) & keyed["doc_id"].cast("long").eqNullSafe(m[id_])
-    once = marked.where("stays")
-    twice = keyed.join(once, same(once), "left_semi").dropDuplicates([key])
-    return keyed.join(marked, same(marked), "left_anti").unionByName(twice).select(*docs.columns)
+    whole, once = keyed.join(marked, same(marked), "left_anti"), marked.where("stays")
+    if not once.isEmpty():  # else no text has to be shuffled to find rows that repeat each other
+        whole = whole.unionByName(keyed.join(once, same(once), "left_semi").dropDuplicates([key]))
+    return whole.select(*docs.columns)
