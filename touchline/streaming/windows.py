@@ -38,8 +38,12 @@ def tumbling(events: DataFrame, time: str, width: str, late: str, keys: list[str
 
 
 def sessions(events: DataFrame, time: str, gap: str, late: str, keys: list[str]) -> DataFrame:
-    w = events.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
-    return w.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
+    """Rows less than `gap` apart; the end is the last row and the gap.
+
+    session_window joins sessions that touch, so it gets a gap shorter by the least step of a timestamp.
+    """
+    w = events.withWatermark(time, late).groupBy(F.session_window(time, f"{gap} -1 microseconds"), *keys).agg(F.count("*").alias("n"))
+    return w.select(F.col("session_window.start").alias("start"), (F.col("session_window.end") + F.expr("interval 1 microsecond")).alias("end"), *keys, "n")
 
 
 def first_of_each(events: DataFrame, time: str, late: str, keys: list[str]) -> DataFrame:
