@@ -17,6 +17,14 @@ def _events(path, rows):
     return str(path)
 
 
+def test_a_pass_of_exactly_the_least_length_is_a_pass(spark):
+    names = "video long, span long, state string, team_id string, track_id long, start_frame long, end_frame long, start_t double, end_t double, duration double, confidence double, start_x double, start_y double, end_x double, end_y double"
+    spans = spark.createDataFrame([(1, 0, "controlled", "A", 3, 1, 2, 0.0, 1.0, 1.0, 0.9, 0.1, 0.0, 0.1, 0.0), (1, 1, "controlled", "A", 5, 3, 4, 2.0, 3.0, 1.0, 0.8, 1.9, 2.4, 1.9, 2.4)], names)
+    ball = spark.createDataFrame([(1, f, "observed") for f in range(1, 5)], "video long, frame_idx long, state string")
+    found = match_events.pass_and_turnover(spans, ball, spark.createDataFrame([(1, "A", 0), (1, "B", 0)], "video long, team_id string, direction int"))
+    assert sorted(r.event_type for r in found.collect()) == ["pass", "pass_successful"]
+
+
 def test_streamed_sessions_end_where_the_next_row_is_exactly_the_gap_away(spark, tmp_path):
     rows = [(0, 7, 0, "view"), (1, 7, 21599, "view"), (2, 7, 21599 + 21600, "view"), (3, 8, 5, "view")]
     found = sorted((r.u, r.start_t - 1704067200, r.end_t - 1704067200, r.n) for r in streams.streamed_sessions(spark, _events(tmp_path, rows)).collect())

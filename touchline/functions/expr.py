@@ -94,6 +94,11 @@ def hash_fraction(*keys: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("/", *keys), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def distance(dx: Column, dy: Column) -> Column:
+    """Root of the sum of squares, as SQL writes it; hypot rounds otherwise, which shows where a distance meets a threshold."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; null where either is zero."""
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)

@@ -75,7 +75,7 @@ def touches_and_carries(spans: DataFrame, directions: DataFrame, rules: Rules =
     """A touch for each controlled span, a carry where the ball moved with its holder, a dribble candidate where it gained."""
     held = directed(spans.where("state = 'controlled' and track_id is not null"), directions)
     c = F.col
-    moved = F.hypot(c("end_x") - c("start_x"), c("end_y") - c("start_y"))
+    moved = expr.distance(c("end_x") - c("start_x"), c("end_y") - c("start_y"))
     gain = (c("end_x") - c("start_x")) * c("direction")
     carried = moved >= rules.least_carry
     own = {x: c(x) for x in ("video", "team_id", "track_id", "start_x", "start_y")} | {"frame_idx": c("start_frame")}
@@ -107,7 +107,7 @@ def pass_and_turnover(spans: DataFrame, ball: DataFrame, directions: DataFrame,
     other = directions.withColumn("team_id", F.when(c("team_id") == "A", "B").otherwise("A"))
     rows = directed(pairs.withColumn("own_side", F.when(c("a_team_id") == "A", "A").otherwise("B")), other, "own_side", "behind")
     x0, y0, x1, y1 = c("a_end_x"), c("a_end_y"), c("b_start_x"), c("b_start_y")
-    distance = F.hypot(x1 - x0, y1 - y0)
+    distance = expr.distance(x1 - x0, y1 - y0)
     gap = F.greatest(F.lit(0.0), (c("b_start_t") - c("a_end_t")).cast("double"))
     sure = F.least("a_confidence", "b_confidence") * F.greatest(F.lit(0.2), c("coverage"))
     same = (c("a_team_id") == c("b_team_id")) & expr.is_team(c("a_team_id"))
@@ -121,9 +121,9 @@ def pass_and_turnover(spans: DataFrame, ball: DataFrame, directions: DataFrame,
     third = F.when(right, x0 > 2 * rules.length / 3).otherwise(x0 < rules.length / 3)
     cross = (c("forward") != 0) & (F.least(y0, rules.width - y0) <= rules.cross_width) & third & in_box
     goal_x = F.when(right, rules.length).otherwise(0.0)
-    before, after = F.hypot(goal_x - x0, rules.width / 2 - y0), F.hypot(goal_x - x1, rules.width / 2 - y1)
+    before, after = expr.distance(goal_x - x0, rules.width / 2 - y0), expr.distance(goal_x - x1, rules.width / 2 - y1)
     own_x = F.when(c("behind") > 0, rules.length).otherwise(0.0)
-    away, far = F.hypot(own_x - x0, rules.width / 2 - y0), F.hypot(own_x - x1, rules.width / 2 - y1)
+    away, far = expr.distance(own_x - x0, rules.width / 2 - y0), expr.distance(own_x - x1, rules.width / 2 - y1)
     aimed = lost & (c("forward") != 0)
     shot = aimed & (before <= rules.shot_distance) & (after < before) & moved
     target = shot & (F.abs(y1 - rules.width / 2) <= rules.target_half_width)
