@@ -25,6 +25,16 @@ def test_a_pass_of_exactly_the_least_length_is_a_pass(spark):
     assert sorted(r.event_type for r in found.collect()) == ["pass", "pass_successful"]
 
 
+def test_a_pair_of_tracklets_is_refused_beyond_the_limit_of_the_root_of_squares(spark):
+    ends = "video long, track_id long, object_class string, frame long, cx double, cy double, height double, px double, py double"
+    rows = [(1, 1, "player", 5, 0.0, 0.0, 60.0, 0.1, 0.0), (1, 2, "player", 8, 0.0, 0.0, 60.0, 1.9, 2.4)]
+    tracks = association.features(spark.createDataFrame(rows, ends), ["video"])
+    # The root of the sum of squares is 3.0, what hypot gives is one step below and would be admitted.
+    for slack, refused in ((2.9999999999999996, "pitch_distance_exceeded"), (3.0, None)):
+        pairs = association.pair_costs(tracks, ["video"], None, association.Rules(max_speed_m_s=0.0, slack_m=slack))
+        assert [(r.earlier, r.later, r.refused) for r in pairs.collect()] == [(1, 2, refused)]
+
+
 def test_streamed_sessions_end_where_the_next_row_is_exactly_the_gap_away(spark, tmp_path):
     rows = [(0, 7, 0, "view"), (1, 7, 21599, "view"), (2, 7, 21599 + 21600, "view"), (3, 8, 5, "view")]
     found = sorted((r.u, r.start_t - 1704067200, r.end_t - 1704067200, r.n) for r in streams.streamed_sessions(spark, _events(tmp_path, rows)).collect())
