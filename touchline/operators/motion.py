@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,47 +15,76 @@ SPRINT_SPEED, SPRINT_TIME = 7.0, 0.7
 ZONES = (("walking", 0.0, 2.0), ("jogging", 2.0, 4.0), ("running", 4.0, 5.5), ("high_speed", 5.5, 7.0), ("sprinting", 7.0, float("inf")))
 
 
-def constant_velocity_smoother(t: np.ndarray, z: np.ndarray, noise: float, acceleration: float) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, velocities) of one segment: forward Kalman filter and backward pass of a constant-velocity model.
+def smooth_segments(t: np.ndarray, z: np.ndarray, starts: np.ndarray, noise: float, acceleration: float) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, velocities) of segments that follow each other, sorted by time: forward Kalman filter and backward pass of a constant-velocity model.
 
-    z has a column for each axis; axes share the gains, which depend on times alone. Fewer than three samples come back as
-    they are, at rest.
+    starts has the first row of each segment; z has a column for each axis; axes share the gains, which depend on times alone.
+    Fewer than three samples come back as they are, at rest. The i-th samples of all segments are one step, so steps are as
+    many as the longest segment has samples.
     """
-    n = len(t)
-    if n < 3:
-        return z.astype(float), np.zeros(z.shape)
-    state, cov = np.zeros((n, 2, z.shape[1])), np.zeros((n, 2, 2))
-    ahead, ahead_cov, moves = np.zeros_like(state), np.zeros_like(cov), np.zeros((n, 2, 2))
-    x, p = np.stack([z[0], np.zeros(z.shape[1])]), np.diag([noise**2, 4.0])
-    state[0], cov[0] = x, p
-    for i in range(1, n):
-        dt = max(t[i] - t[i - 1], 1e-3)
-        f, g = np.array([[1.0, dt], [0.0, 1.0]]), np.array([dt * dt / 2, dt])
-        x, p = f @ x, f @ p @ f.T + acceleration**2 * np.outer(g, g)
-        ahead[i], ahead_cov[i], moves[i] = x, p, f
-        gain = p[:, 0] / (p[0, 0] + noise**2)
-        x, p = x + gain[:, None] * (z[i] - x[0]), p - np.outer(gain, p[0])
-        state[i], cov[i] = x, p
-    for i in range(n - 2, -1, -1):
-        back = cov[i] @ moves[i + 1].T @ np.linalg.inv(ahead_cov[i + 1])
-        state[i] = state[i] + back @ (state[i + 1] - ahead[i + 1])
-    return state[:, 0], state[:, 1]
+    place, velocity = z.astype(float), np.zeros(z.shape)
+    sizes = np.diff(np.append(starts, len(t)))
+    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes >= 3)]
+    starts, sizes = starts[order], sizes[order]
+    if not len(starts):
+        return place, velocity
+    longer = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), "left")  # how many segments have more than i samples
+    state, cov, moves = np.zeros((len(t), 2, z.shape[1])), np.zeros((len(t), 2, 2)), np.tile(np.eye(2), (len(t), 1, 1))
+    ahead, ahead_cov = np.zeros_like(state), np.zeros_like(cov)
+    dt = np.maximum(np.diff(t, prepend=t[:1]), 1e-3)
+    moves[:, 0, 1] = dt
+    g = np.stack([dt * dt / 2, dt], 1)
+    state[starts, 0], cov[starts] = z[starts], np.diag([noise**2, 4.0])
+    for i in range(1, sizes[0]):
+        at = starts[: longer[i]] + i
+        f, u = moves[at], g[at]
+        x, p = f @ state[at - 1], f @ cov[at - 1] @ f.transpose(0, 2, 1) + acceleration**2 * u[:, :, None] * u[:, None]
+        ahead[at], ahead_cov[at] = x, p
+        gain = p[:, :, 0] / (p[:, 0, 0] + noise**2)[:, None]
+        state[at], cov[at] = x + gain[:, :, None] * (z[at] - x[:, 0])[:, None], p - gain[:, :, None] * p[:, :1]
+    for i in range(sizes[0] - 2, -1, -1):
+        at = starts[: longer[i + 1]] + i
+        back = cov[at] @ moves[at + 1].transpose(0, 2, 1) @ np.linalg.inv(ahead_cov[at + 1])
+        state[at] += back @ (state[at + 1] - ahead[at + 1])
+    done = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place[done], velocity[done] = state[done, 0], state[done, 1]
+    return place, velocity
+
+
+def constant_velocity_smoother(t: np.ndarray, z: np.ndarray, noise: float, acceleration: float) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, velocities) of one segment."""
+    return smooth_segments(t, z, np.zeros(min(1, len(t)), int), noise, acceleration)
 
 
 def smooth_tracks(df: DataFrame, by: list[str], time: str, x: str, y: str, noise: float = 0.5, acceleration: float = 3.0) -> DataFrame:
-    """df with `smooth_x`, `smooth_y` and `speed` at each sample. `by` names a segment, which one task smooths.
+    """df with `smooth_x`, `smooth_y` and `speed` at each sample. `by` names a segment, which has to fit in a task.
 
-    The first estimate is at rest at the first sample, with a variance of 4 for its velocity.
+    The first estimate is at rest at the first sample, with a variance of 4 for its velocity. The window leaves segments whole
+    and in order in their partition, so a task smooths all those of a batch together; one that goes on in the next batch waits for it.
     """
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in df.columns), "smooth_x double, smooth_y double, speed double"])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(time, kind="stable")
-        place, velocity = constant_velocity_smoother(group[time].to_numpy(float), group[[x, y]].to_numpy(float), noise, acceleration)
-        return group.assign(smooth_x=place[:, 0], smooth_y=place[:, 1], speed=np.hypot(velocity[:, 0], velocity[:, 1]))
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    def smooth(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
+        place, velocity = smooth_segments(rows[time].to_numpy(float), rows[[x, y]].to_numpy(float), np.flatnonzero(rows.pop("__first")), noise, acceleration)
+        return rows.assign(smooth_x=place[:, 0], smooth_y=place[:, 1], speed=np.hypot(velocity[:, 0], velocity[:, 1]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for batch in batches:
+            starts = np.flatnonzero(batch["__first"])
+            if len(starts):
+                held.append(batch.iloc[: starts[-1]])
+                if sum(map(len, held)):
+                    yield smooth(held)
+                held, batch = [], batch.iloc[starts[-1] :]
+            held.append(batch)
+        if held:
+            yield smooth(held)
+
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(time)) == 1
+    return df.withColumn("__first", first).mapInPandas(run, schema)
 
 
 def intervals(df: DataFrame, by: list[str], order: list[str], time: str, x: str, y: str, speed: str) -> DataFrame:
