@@ -198,7 +198,8 @@ def possession_spans(decided: DataFrame, shortest: float = 0.16) -> DataFrame:
         F.avg((F.col("ball_state") != "unknown").cast("double")).alias("ball_coverage"), F.min_by(F.struct("x", "y"), "frame_idx").alias("first"), F.max_by(F.struct("x", "y"), "frame_idx").alias("last"),
     )
     r = sequence._w(["video_id"], ["run"])
-    short = (F.col("end_t") - F.col("start_t") < shortest) & (F.col("state") != "unknown") & (F.lag("state").over(r) != "unknown")
+    # Times are fractions that doubles round; a span of exactly `shortest` is not short.
+    short = (F.col("end_t") - F.col("start_t") < shortest - 1e-9) & (F.col("state") != "unknown") & (F.lag("state").over(r) != "unknown")
     kept = ~F.coalesce(short, F.lit(False))
     marked = raw.withColumn("__kept", kept).withColumn("span", F.sum(kept.cast("long")).over(r))
     own = lambda c: F.max(F.when(F.col("__kept"), F.col(c))).alias(c)
