@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from touchline.operators import motion
+from touchline.operators import detection, motion
 
 
 def test_segments_are_smoothed_together_as_they_are_alone(spark):
@@ -24,3 +24,14 @@ def test_segments_are_smoothed_together_as_they_are_alone(spark):
         place, speed = motion.constant_velocity_smoother(mine[:, 0], mine[:, 1:], 0.5, 3.0)
         want = np.column_stack([place, np.hypot(*speed.T)])
         assert np.allclose([got[s, t] for t in mine[:, 0]], want, atol=1e-9)
+
+
+def test_average_precision_sorts_rows_once_for_all_thresholds(spark, monkeypatch):
+    counted = []
+    real = detection.running_sums
+    monkeypatch.setattr(detection, "running_sums", lambda rows, *a: counted.append(rows.count()) or real(rows, *a))
+    box = "frame long, object_class string, id long, x1 double, y1 double, x2 double, y2 double"
+    truth = spark.createDataFrame([(f, "ball", 1, 0.0, 0.0, 10.0, 10.0) for f in range(20)], box)
+    found = spark.createDataFrame([(f, "ball", 1, 0.0, 0.0, 10.0, 10.0 - f % 5, 0.5) for f in range(20)], box + ", score double")
+    r = detection.evaluate_detection(truth, found, ["frame"]).first()
+    assert counted == [20] and r.tp == 20 and r.ap50 == 1.0
