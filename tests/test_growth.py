@@ -26,6 +26,19 @@ def test_segments_are_smoothed_together_as_they_are_alone(spark):
         assert np.allclose([got[s, t] for t in mine[:, 0]], want, atol=1e-9)
 
 
+def test_groups_share_the_weights_of_their_units(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), c, float(rng.random())) for i in range(300) for c in "ab" for _ in range(int(rng.integers(0, 3)))]
+    df = spark.createDataFrame(rows, "frame long, cls string, value double")
+    found = {r.cls: r for r in detection.bootstrap_means(df.coalesce(1), ["frame"], ["cls"], "value", replicates=200).collect()}
+    units = {r.frame: r.h for r in df.selectExpr("frame", "xxhash64(frame) as h").distinct().collect()}
+    for c in "ab":
+        mine = [r for r in rows if r[1] == c]
+        w = detection.poisson_weights(np.array([units[r[0]] for r in mine]), 200, 0)
+        means = (np.array([r[2] for r in mine]) @ w) / w.sum(0)
+        assert np.allclose([found[c].lower, found[c].upper], np.quantile(means, [0.025, 0.975]))
+
+
 def test_average_precision_sorts_rows_once_for_all_thresholds(spark, monkeypatch):
     counted = []
     real = detection.running_sums
