@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from touchline.operators import detection, motion
+from touchline.functions import expr
+from touchline.operators import detection, motion, neighbours
 
 
 def test_segments_are_smoothed_together_as_they_are_alone(spark):
@@ -48,3 +51,21 @@ def test_average_precision_sorts_rows_once_for_all_thresholds(spark, monkeypatch
     found = spark.createDataFrame([(f, "ball", 1, 0.0, 0.0, 10.0, 10.0 - f % 5, 0.5) for f in range(20)], box + ", score double")
     r = detection.evaluate_detection(truth, found, ["frame"]).first()
     assert counted == [20] and r.tp == 20 and r.ap50 == 1.0
+
+
+def test_nearest_in_class_is_the_brute_force_whatever_copies_nulls_and_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = [[float(x) for x in rng.integers(-2, 3, 3)] for _ in range(40)]
+    rows = [(i, int(rng.integers(0, 3)), vectors[int(rng.integers(0, 40))]) for i in range(150)]
+    rows += [(200, 0, None), (201, 0, [1.0, None, 2.0]), (202, 1, [1.0, 2.0]), (203, 1, [2.0, 4.0]), (204, None, [1.0, 1.0, 1.0]), (205, 2, [float("nan"), 1.0, 1.0])]
+    rows += [(300, 5, [0.0, 0.0]), (301, 5, [0.0, 0.0]), (302, 6, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3)
+    p = df.selectExpr("vec_id query_id", "label", "embedding q").join(df, "label").where("query_id <> vec_id")
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    want = p.withColumn("cosine", expr.cosine(F.col("q"), F.col("embedding"))).withColumn("n", n).where("n <= 3").select("query_id", "vec_id", "cosine")
+    monkeypatch.setattr(neighbours, "CELL", 8)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    found = neighbours.nearest_in_class(df, "label", "vec_id", "embedding", 3)
+    key = lambda t: sorted((r.query_id, r.vec_id, repr(r.cosine)) for r in t.collect())
+    assert key(found) == key(want)
+    assert "zip_with" not in found._jdf.queryExecution().toString()  # no pair of vectors leaves a cell

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import detection, joins, sequence
+from touchline.operators import detection, joins, neighbours, sequence
 from touchline.plans.registry import query
 from touchline.sources.tables import boxes, table
 
@@ -190,11 +190,8 @@ def suppressed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM embeddings e JOIN embeddings f ON e.label = f.label AND e.vec_id <> f.vec_id QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])) DESC, f.vec_id) <= 3""")
 def appearance_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most alike of each vector's own class; pairs are formed within a class only, as the appearance cost gate does."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    p = e.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")).join(e, "label").where("query_id <> vec_id")
-    p = p.withColumn("cosine", expr.cosine(F.col("q"), F.col("embedding")))
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return p.withColumn("n", n).where("n <= 3").select("query_id", "vec_id", r("cosine", 5).alias("cosine"))
+    p = neighbours.nearest_in_class(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 3)
+    return p.select("query_id", "vec_id", r("cosine", 5).alias("cosine"))
 
 
 @query(""" SELECT frame, id, CASE WHEN part % 50 <> 0 THEN round(x1, 4) END AS x, CASE WHEN part % 50 <> 0 THEN round(y1, 4) END AS y FROM bx""")
