@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import detection, motion, neighbours
+from touchline.operators import detection, joins, motion, neighbours
 
 
 def test_segments_are_smoothed_together_as_they_are_alone(spark):
@@ -69,3 +71,17 @@ def test_nearest_in_class_is_the_brute_force_whatever_copies_nulls_and_lengths(s
     key = lambda t: sorted((r.query_id, r.vec_id, repr(r.cosine)) for r in t.collect())
     assert key(found) == key(want)
     assert "zip_with" not in found._jdf.queryExecution().toString()  # no pair of vectors leaves a cell
+
+
+def test_a_long_list_is_matched_in_little_memory_and_as_before(monkeypatch):
+    rng = np.random.default_rng(7)
+    short = [(np.sort(rng.integers(0, 60, int(rng.integers(0, 40)))).astype(float), np.sort(rng.integers(0, 60, int(rng.integers(0, 40)))).astype(float), float(rng.integers(0, 9))) for _ in range(200)]
+    whole = [joins.match_sorted(*x).tolist() for x in short]
+    a, b = (np.sort(rng.integers(0, 12_000, 12_000)).astype(float) for _ in "ab")
+    tracemalloc.start()
+    found = joins.match_sorted(a, b, 1000.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and len(found) == 12_000  # 530 MB when every window is kept
+    monkeypatch.setattr(joins, "KEPT_CELLS", 0)
+    assert [joins.match_sorted(*x).tolist() for x in short] == whole
