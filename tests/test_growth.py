@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import detection, joins, motion, neighbours
+from touchline.operators import association, detection, joins, motion, neighbours
 
 
 def test_segments_are_smoothed_together_as_they_are_alone(spark):
@@ -85,3 +85,22 @@ def test_a_long_list_is_matched_in_little_memory_and_as_before(monkeypatch):
     assert peak < 64 << 20 and len(found) == 12_000  # 530 MB when every window is kept
     monkeypatch.setattr(joins, "KEPT_CELLS", 0)
     assert [joins.match_sorted(*x).tolist() for x in short] == whole
+
+
+def test_a_large_component_is_matched_over_its_edges_only():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        table = np.where(rng.random((6, 7)) < rng.random(), rng.integers(0, 5, (6, 7)), 1000.0)
+        l, r = np.nonzero(table < 1000)
+        if len(l):
+            picked = association.cheapest_matching(np.unique(l, return_inverse=True)[1], np.unique(r, return_inverse=True)[1], table[l, r])
+            assert len(set(l[picked])) == len(set(r[picked])) == len(picked)
+            best = table[np.arange(6), joins.assign(table)].sum()
+            assert (len(picked), table[l, r][picked].sum()) == (6 - best // 1000, best % 1000)
+    n = 3000  # row i meets columns i and i + 1; two tables of rows by columns are 144 MB
+    l, r, cost = np.repeat(np.arange(n), 2), np.repeat(np.arange(n), 2) + np.tile([0, 1], n), np.tile([1.0, 0.0], n)
+    tracemalloc.start()
+    picked = association.cheapest_matching(l, r, cost)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 and len(picked) == n and cost[picked].sum() == 0
