@@ -104,3 +104,14 @@ def test_a_large_component_is_matched_over_its_edges_only():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16 << 20 and len(picked) == n and cost[picked].sum() == 0
+
+
+def test_pairs_of_a_frame_get_more_tasks_with_more_rows(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id div 4 frame", "id % 4 id")
+    assert joins.spread(rows, "frame").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    monkeypatch.setattr(joins, "TASK_ROWS", 40)
+    dealt = joins.spread(rows, "frame")
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 400
+    assert dealt.select("frame", F.spark_partition_id().alias("p")).distinct().count() == 100
+    pairs = dealt.selectExpr("frame", "id a").join(dealt.selectExpr("frame", "id b"), "frame")
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1 and pairs.count() == 1600

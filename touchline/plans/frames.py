@@ -58,7 +58,8 @@ PAIRS = """, pr AS (SELECT a.frame, a.id AS a, b.id AS b, a.score AS sa, b.score
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of objects of one frame, an equi-join on the frame; a frame holds few objects."""
-    side = lambda c: boxes(spark, sf_dir).select("frame", *(F.col(x).alias(f"{x}_{c}") for x in ("id", "x1", "y1", "x2", "y2", "score", "label")))
+    rows = joins.spread(boxes(spark, sf_dir), "frame")
+    side = lambda c: rows.select("frame", *(F.col(x).alias(f"{x}_{c}") for x in ("id", "x1", "y1", "x2", "y2", "score", "label")))
     p = side("a").join(side("b"), "frame")
     over = expr.iou(*(tuple(F.col(f"{x}_{c}") for x in ("x1", "y1", "x2", "y2")) for c in "ab"))
     return p.withColumn("iou", over).withColumn("d", F.hypot(F.col("x1_a") - F.col("x1_b"), F.col("y1_a") - F.col("y1_b")))
