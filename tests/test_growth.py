@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import association, detection, joins, motion, neighbours
+from touchline.operators import association, ball, detection, joins, motion, neighbours, tracklets
 
 
 def test_segments_are_smoothed_together_as_they_are_alone(spark):
@@ -115,3 +115,38 @@ def test_pairs_of_a_frame_get_more_tasks_with_more_rows(spark, monkeypatch):
     assert dealt.select("frame", F.spark_partition_id().alias("p")).distinct().count() == 100
     pairs = dealt.selectExpr("frame", "id a").join(dealt.selectExpr("frame", "id b"), "frame")
     assert pairs._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1 and pairs.count() == 1600
+
+
+def test_a_search_compares_places_and_not_the_candidates_on_them(monkeypatch):
+    rng = np.random.default_rng(9)
+    nodes = np.array(sorted(((f, float(x), float(x % 3), round(float(c), 2)) for f in range(20) for x, c in zip(rng.integers(0, 5, 100), rng.random(100), strict=True)), key=lambda r: (r[0], -r[3])))
+    cells, real = [], np.hypot
+    monkeypatch.setattr(tracklets.np, "hypot", lambda *a: cells.append(real(*a).size) or real(*a))
+    score, parent = tracklets.search(nodes, 13, 4.0)
+    monkeypatch.undo()
+    assert sum(cells) <= 20 * 5 * 13 * 5  # every candidate with every one before it: 2,000,000 and more
+    for i, (f, x, y, c) in enumerate(nodes):
+        total = [score[j] + c - 0.6 * float(np.hypot(q[1] - x, q[2] - y)) / (4.0 * (f - q[0])) - 0.8 * (f - q[0] - 1) / 12 if f - 13 <= q[0] < f and np.hypot(q[1] - x, q[2] - y) <= 4.0 * (f - q[0]) else -np.inf for j, q in enumerate(nodes)]
+        k = int(np.argmax(total))
+        assert (score[i], parent[i]) == ((total[k], k) if total[k] > c else (c, -1))
+
+
+def test_candidates_of_one_place_share_a_search_and_end_as_they_would_alone(spark):
+    rng = np.random.default_rng(10)
+    rows = [("v", int(f), int(i), float(rng.integers(0, 4)) * 5, float(rng.integers(0, 2)) * 5, float(rng.integers(1, 4)) / 4) for i, f in enumerate(rng.choice([0, 1, 2, 3, 9, 10, 11, 30, 31, 60], 400))]
+    rows += rows[:40]  # rows that repeat an id too
+    rules = ball.PathRules(speed=4.0, max_gap=3, min_path=3)
+    out = ball.paths(spark.createDataFrame(rows, "video string, frame long, id long, x double, y double, confidence double").repartition(5), ["video"], rules)
+    got = sorted((r.frame, r.id, r.path, r.reason or "") for r in out.collect())
+    assert len(got) == len(rows)
+    want = []
+    for stretch in ([0, 1, 2, 3], [9, 10, 11], [30, 31], [60]):
+        mine = sorted((r for r in rows if r[1] in stretch), key=lambda r: (r[1], -r[5], r[2]))
+        nodes = np.array([(r[1], *r[3:]) for r in mine])
+        path, short = ball.peel(nodes, 4, 4.0, 3)[:2]
+        reason = np.where(path >= 0, "", np.where(short, "segment_too_short", "not_on_any_accepted_path")).astype(object)
+        on = np.flatnonzero(path >= 0)
+        if len(on) > 2:
+            reason[on[1:-1][ball._jerks(nodes[on], 4, rules.max_accel)]] = "implausible_acceleration"
+        want += [(r[1], r[2], int(p), w) for r, p, w in zip(mine, path, reason, strict=True)]
+    assert got == sorted(want) and {"segment_too_short", "not_on_any_accepted_path", ""} <= {w[3] for w in want}

@@ -6,10 +6,12 @@ lattice of frames, so no video is sorted in one task but for the search of paths
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,33 +166,46 @@ def fusion_summary(states: DataFrame, by: list[str]) -> DataFrame:
 # -- paths and states ---------------------------------------------------------------------------------------------------------
 
 
-def peel(nodes: np.ndarray, reach: int, speed: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(path, reason) of candidates (frame, x, y, confidence), sorted by frame and falling confidence; path is -1 off all paths.
+def peel(nodes: np.ndarray, reach: int, speed: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(path, short, copies) of candidates (frame, x, y, confidence), sorted by frame and falling confidence; path is -1 off all paths.
 
     By falling score, each unclaimed end is walked back until a claimed node or frame; walks of `least` nodes are paths and
     claim their nodes and frames, shorter ones claim their end only, so that a longer path may still use the rest.
-    reason is 1 where a node's frame was on a walk that was too short.
+    short is where a node was on a walk that was too short. copies says the same of later candidates equal to a node: -2 for none,
+    else for those before the node with that number, -1 for all.
     """
     score, parent = search(nodes, reach, speed)
-    frame = nodes[:, 0].astype(np.int64)
-    path, claimed, taken, short = np.full(len(nodes), -1), np.zeros(len(nodes), bool), set(), np.zeros(len(nodes), bool)
+    order = np.argsort(-score, kind="stable")
+    path, short, alone = np.full(len(nodes), -1), np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+    at_frame = np.unique(nodes[:, 0], return_inverse=True)[1].reshape(-1)
+    # Arrays of plain numbers: a quarter of what lists of them take.
+    frame, back = array("q", at_frame.astype(np.int64).tobytes()), array("q", parent.tobytes())
+    taken, claimed = [-1] * (int(at_frame.max(initial=-1)) + 1), bytearray(len(nodes))
     number = 0
-    for end in np.argsort(-score, kind="stable").tolist():
-        if claimed[end]:
+    for end in array("q", order.tobytes()):
+        if taken[frame[end]] >= 0 or claimed[end]:
             continue
         walk, at = [], end
-        while at >= 0 and not claimed[at] and int(frame[at]) not in taken:
+        while at >= 0 and not claimed[at] and taken[frame[at]] < 0:
             walk.append(at)
-            at = int(parent[at])
+            at = back[at]
         if len(walk) < least:
-            claimed[end] = True
-            short[walk] = True
+            claimed[end] = 1
+            short[walk] = alone[end] = True
             continue
         path[walk] = number
-        claimed[walk] = True
-        taken.update(frame[walk].tolist())
+        for at in walk:
+            claimed[at], taken[frame[at]] = 1, end
         number += 1
-    return path, short
+    taker = np.array(taken, np.int64)[at_frame]
+    # A copy's turn comes after the node's own and before that of any later node with the same score.
+    tie = (taker >= 0) & (nodes[taker, 0] == nodes[:, 0]) & (nodes[taker, 3] == nodes[:, 3]) & (score[taker] == score)
+    return path, short, np.where(alone, np.where(tie, taker, -1), -2)
+
+
+#: Why a candidate is on no path, or is dropped from one; the first is for those that are kept.
+LOSSES = (None, "segment_too_short", "not_on_any_accepted_path", "implausible_acceleration")
+TAKEN, SHORT, NOWHERE, JERKY = range(1, 5)
 
 
 @dataclass(frozen=True)
@@ -216,30 +231,46 @@ def paths(candidates: DataFrame, by: list[str], rules: PathRules = PathRules())
     candidates: by + frame, id, x, y, confidence. A frame has one accepted candidate at most; all paths of a stretch of frames that
     no step leaves are peeled off one search. Then points whose turn within a path's reach needs too much acceleration are
     dropped. Rows with a null place or confidence take no part.
+
+    Of candidates of a frame with the same place and confidence only the one with the smallest id can be on a path, so the search sees
+    that one alone; the others learn from it why they are on none.
     """
     known = candidates.where("x is not null and y is not null and confidence is not null").select(*by, F.col("frame").cast("long").alias("frame"), "id", "x", "y", "confidence")
     reach = rules.max_gap + 1
-    stretches = islands(known, by, ["frame", "id"], reach)
+    spot = [*by, "frame", "x", "y", "confidence"]
+    rows = known.groupBy(*spot, "id").agg(F.count("*").alias("__n"))
+    stretches = islands(rows.groupBy(*spot).agg(F.min("id").alias("id")), by, reach)
     types = dict(stretches.dtypes)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["frame", "confidence", "id"], ascending=[True, False, True], kind="stable")
-        nodes, island = group[["frame", "x", "y", "confidence"]].to_numpy(float), group["island"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(island)) + 1), len(group)]
-        found = [peel(nodes[a:b], reach, rules.speed * rules.scale, rules.min_path) for a, b in zip(cuts, cuts[1:], strict=False)]
-        out = group[[*by, "island", "frame", "id", "x", "y", "confidence"]].copy()
-        out["path"], short = np.concatenate([p for p, _ in found]), np.concatenate([s for _, s in found])
-        reason = np.where(out["path"] >= 0, None, np.where(short, "segment_too_short", "not_on_any_accepted_path"))
-        # The points of an island that were taken, in order of frames, are what an acceleration is measured on.
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("frame", "ascending"), ("confidence", "descending"), ("id", "ascending")]))
+        column = lambda n: group.column(n).cast(pa.float64()).to_numpy()
+        nodes, island = np.column_stack([column(n) for n in ("frame", "x", "y", "confidence")]), group.column("island").to_numpy()
+        path, reason, copies = np.full(len(nodes), -1), np.empty(len(nodes), np.int8), np.full(len(nodes), -1)
+        cuts = [0, *(np.flatnonzero(np.diff(island)) + 1), len(nodes)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            taken = a + np.flatnonzero(out["path"].to_numpy()[a:b] >= 0)
+            path[a:b], short, later = peel(nodes[a:b], reach, rules.speed * rules.scale, rules.min_path)
+            reason[a:b] = np.where(path[a:b] >= 0, TAKEN, np.where(short, SHORT, NOWHERE))
+            copies[a:b] = np.where(later >= 0, later + a, later)
+            # The points of an island that were taken, in order of frames, are what an acceleration is measured on.
+            taken = a + np.flatnonzero(path[a:b] >= 0)
             if len(taken) > 2:
-                reason[taken[1:-1][_jerks(nodes[taken], reach, rules.max_accel * rules.scale)]] = "implausible_acceleration"
-        out["reason"] = reason
-        return out[[*by, "island", "path", "frame", "id", "x", "y", "confidence", "reason"]]
-
-    schema = ", ".join([*(f"{c} {types[c]}" for c in (*by, "island")), "path long", *(f"{c} {types[c]}" for c in ("frame", "id", "x", "y", "confidence")), "reason string"])
-    return stretches.groupBy(*by, "__batch").applyInPandas(run, schema)
+                reason[taken[1:-1][_jerks(nodes[taken], reach, rules.max_accel * rules.scale)]] = JERKY
+        until = group.column("id").take(pa.array(copies, mask=copies < 0))
+        out = [*(group.column(c) for c in (*spot, "island", "id")), pa.array(path), pa.array(reason), pa.array(copies > -2), until]
+        return pa.table(out, names=[*spot, "island", "id", "path", "reason", "alone", "until"])
+
+    schema = ", ".join([*(f"{c} {types[c]}" for c in (*spot, "island", "id")), f"path long, reason tinyint, alone boolean, until {types['id']}"])
+    # A number keeps the planner from putting all groups, which are few and of few bytes, into one task.
+    dealt = stretches.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "__batch")
+    leaders = dealt.groupBy(*by, "__batch").applyInArrow(run, schema)
+    c = F.col
+    leaders = leaders.select(*(c(n).alias(f"__{n}") for n in (*spot, "id")), *("island", "path", "reason", "alone", "until"))
+    each = rows.join(leaders, [c(n).eqNullSafe(c(f"__{n}")) for n in spot]).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    leads = c("id").eqNullSafe(c("__id")) & (c("__i") == 1)
+    copy = F.when(c("alone") & (c("until").isNull() | F.coalesce(c("id") < c("until"), F.lit(False))), SHORT).otherwise(NOWHERE)
+    why = F.element_at(F.array(*(F.lit(r) for r in LOSSES)), F.when(leads, c("reason")).otherwise(copy).cast("int"))
+    return each.select(*by, "island", F.when(leads, c("path")).otherwise(-1).alias("path"), "frame", "id", "x", "y", "confidence", why.alias("reason"))
 
 
 def _jerks(points: np.ndarray, reach: int, limit: float) -> np.ndarray:

@@ -20,6 +20,8 @@ from touchline.streaming.windows import shared_dir
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
 #: Islands are handed to a task together until they hold this many rows.
 BATCH_ROWS = 10_000
+#: Pairs of places that a search compares at once.
+CELLS = 1 << 20
 
 
 def _islands(rows: DataFrame, by: list[str], order: list[str], new: Column) -> DataFrame:
@@ -94,22 +96,51 @@ def search(nodes: np.ndarray, reach: int, speed: float) -> tuple[np.ndarray, np.
 
     A step adds the next one's confidence less 0.6 of its share of speed * frames and 0.8 of the frames skipped / (reach - 1);
     steps of more than reach frames or beyond that speed are impossible. A predecessor counts only if it raises the score.
+
+    Of candidates at one place of a frame only the surest can be a predecessor, and all have the same steps before them; so places are
+    compared with places, once a frame, however many candidates they hold.
     """
     frame, place, sure = nodes[:, 0], nodes[:, 1:3], nodes[:, 3]
     score, parent = sure.copy(), np.full(len(nodes), -1)
-    first = np.searchsorted(frame, frame - reach, "left")
-    last = np.searchsorted(frame, frame, "left")
-    for i in range(len(nodes)):
-        lo, hi = first[i], last[i]
-        if lo == hi:
+    if not len(nodes):
+        return score, parent
+    order = np.lexsort((place[:, 1], place[:, 0], frame))
+    opens = np.concatenate([[True], (np.diff(nodes[order, :3], axis=0) != 0).any(1)])
+    spot = np.empty(len(nodes), np.int64)
+    spot[order] = np.cumsum(opens) - 1
+    tops = order[opens]  # the first node of each place, as the sort is stable
+    leaders = np.sort(tops)
+    cuts = [0, *(np.flatnonzero(np.diff(frame)) + 1), len(nodes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        before = leaders[np.searchsorted(frame[leaders], frame[a] - reach, "left") : np.searchsorted(frame[leaders], frame[a], "left")]
+        if not len(before):
             continue
-        gap = frame[i] - frame[lo:hi]
-        d, limit = np.hypot(*(place[lo:hi] - place[i]).T), speed * gap
-        total = score[lo:hi] + sure[i] - 0.6 * d / np.maximum(1e-6, limit) - 0.8 * (gap - 1) / max(1, reach - 1)
-        total[d > limit] = -np.inf
-        k = int(np.argmax(total))
-        if total[k] > score[i]:
-            score[i], parent[i] = total[k], lo + k
+        gap = frame[a] - frame[before]
+        limit, idle = speed * gap, 0.8 * (gap - 1) / max(1, reach - 1)
+        mine = np.argsort(spot[a:b], kind="stable") + a
+        here, whose = np.unique(spot[mine], return_inverse=True)
+        size = max(1, CELLS // len(before))
+        for lo in range(0, len(here), size):
+            block = tops[here[lo : lo + size]]
+            d = np.hypot(*(place[before][None] - place[block][:, None]).transpose(2, 0, 1))
+            cost = 0.6 * d / np.maximum(1e-6, limit)
+            value = np.where(d > limit, -np.inf, score[before] - cost - idle)
+            best = value.max(1, keepdims=True)
+            # Sums are rounded with a candidate's own confidence, so all that may be its best are added up for it.
+            row, col = np.nonzero((value >= best - 1e-9 * np.maximum(1, np.abs(best))) & np.isfinite(value))
+            if not len(row):
+                continue
+            n = np.bincount(row, minlength=len(block))
+            close = np.full((len(block), n.max()), -1)
+            close[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = col
+            first, last = np.searchsorted(whose, [lo, lo + size])
+            at, of = mine[first:last], whose[first:last] - lo
+            there = close[of]
+            total = np.where(there < 0, -np.inf, score[before][there] + sure[at, None] - cost[of[:, None], there] - idle[there])
+            k = np.argmax(total, axis=1)
+            total, found = total[np.arange(len(at)), k], there[np.arange(len(at)), k]
+            better = total > sure[at]
+            score[at[better]], parent[at[better]] = total[better], before[found[better]]
     return score, parent
 
 
@@ -123,10 +154,19 @@ def best_path(nodes: np.ndarray, reach: int, speed: float) -> list[int]:
     return out[::-1]
 
 
-def islands(rows: DataFrame, by: list[str], order: list[str], reach: int) -> DataFrame:
-    """rows with `island`, a stretch of frames that no step of `reach` frames leaves, and `__batch`, whole islands for one task."""
-    far = F.col("frame") - F.lag("frame").over(Window.partitionBy(*by).orderBy(*order)) > reach
-    return _islands(rows, by, order, far)
+def islands(rows: DataFrame, by: list[str], reach: int) -> DataFrame:
+    """rows with `island`, a stretch of frames that no step of `reach` frames leaves, and `__batch`, whole islands for one task.
+
+    Windows run over the frames that have rows, not over the rows.
+    """
+    w = Window.partitionBy(*by).orderBy("frame")
+    frames = rows.groupBy(*by, "frame").agg(F.count("*").alias("__k"))
+    far = F.coalesce(F.col("frame") - F.lag("frame").over(w) > reach, F.lit(True))
+    frames = frames.withColumn("__new", far).withColumn("__n", F.sum("__k").over(w) - F.col("__k") + 1)
+    first = F.max(F.when(F.col("__new"), F.col("__n"))).over(w)
+    frames = frames.select(*(F.col(c).alias(f"__{c}") for c in (*by, "frame")), F.sum(F.col("__new").cast("long")).over(w).alias("island"), F.floor(first / BATCH_ROWS).alias("__batch"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, "frame")]
+    return rows.join(frames, same).select(*rows.columns, "island", "__batch")
 
 
 def trajectories(candidates: DataFrame, by: list[str], reach: int = 13, speed: float = 90.0) -> DataFrame:
@@ -135,7 +175,7 @@ def trajectories(candidates: DataFrame, by: list[str], reach: int = 13, speed: f
     candidates: by + frame, id, x, y, confidence. Rows with a null place or confidence take no part.
     """
     known = candidates.where("x is not null and y is not null and confidence is not null")
-    stretches = islands(known, by, ["frame", "id"], reach)
+    stretches = islands(known, by, reach)
     types = dict(stretches.dtypes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
