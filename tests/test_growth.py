@@ -5,11 +5,14 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import association, ball, detection, joins, motion, neighbours, tracklets
+from touchline.operators import association, ball, detection, joins, motion, neighbours, tracker, tracklets
+from touchline.streaming import tracking as streamed
 
 
 def test_segments_are_smoothed_together_as_they_are_alone(spark):
@@ -150,3 +153,107 @@ def test_candidates_of_one_place_share_a_search_and_end_as_they_would_alone(spar
             reason[on[1:-1][ball._jerks(nodes[on], 4, rules.max_accel)]] = "implausible_acceleration"
         want += [(r[1], r[2], int(p), w) for r, p, w in zip(mine, path, reason, strict=True)]
     assert got == sorted(want) and {"segment_too_short", "not_on_any_accepted_path", ""} <= {w[3] for w in want}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_an_assignment_over_overlapping_pairs_costs_what_the_whole_one_does(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        n, m = rng.integers(1, 12, 2)
+        cost = np.where(rng.random((n, m)) < 0.5, 1.0, rng.integers(0, 8, (n, m)) / 8 if seed % 2 else rng.random((n, m)))
+        i, j = np.nonzero(cost < 1)
+        edges = tracker.cheapest_pairs(i, j, cost[i, j])
+        assert len(set(i[edges])) == len(set(j[edges])) == len(edges)
+        whole = cost if n <= m else cost.T
+        want = sum(whole[r, c] for r, c in enumerate(joins.assign(whole)))
+        assert cost[i[edges], j[edges]].sum() + (min(n, m) - len(edges)) == pytest.approx(want)
+
+
+def test_a_frame_of_many_boxes_compares_those_that_meet_only():
+    at = np.arange(2500)
+    boxes = np.stack([at % 50 * 30.0, at // 50 * 30.0, at % 50 * 30.0 + 20, at // 50 * 30.0 + 20], axis=1)
+    tracks, score, kinds = tracker.Tracks(), np.full(2500, 0.9), ["p"] * 2500
+    tracks.step(0, boxes, score, kinds, None, None, tracker.Settings())
+    tracemalloc.start()
+    out = tracks.step(1, boxes + 1, score, kinds, None, None, tracker.Settings())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(r[0] for r in out) == list(range(1, 2501))
+    assert peak < 40e6  # a table of tracks by boxes has 50 MB
+
+
+class _Store:
+    """A state store of one key that knows its largest value."""
+
+    def __init__(self):
+        self.values, self.largest, self.timers = {}, 0, []
+
+    def getValueState(self, name, schema):
+        return _Cell(self, name)
+
+    def getMapState(self, name, key, value):
+        return _Cell(self, name)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Cell:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def exists(self):
+        return self.name in self.store.values
+
+    def get(self):
+        return self.store.values[self.name]
+
+    def update(self, value):
+        self.store.values[self.name] = value
+        self._size(value)
+
+    def clear(self):
+        self.store.values.pop(self.name, None)
+
+    def _size(self, value):
+        self.store.largest = max([self.store.largest, *(len(v) for v in value if isinstance(v, bytes))])
+
+    def keys(self):
+        return list(self.store.values.setdefault(self.name, {}))
+
+    def getValue(self, key):
+        return self.store.values[self.name][key]
+
+    def updateValue(self, key, value):
+        self.store.values.setdefault(self.name, {})[key] = value
+        self._size(value)
+
+    def removeKey(self, key):
+        del self.store.values[self.name][key]
+
+
+class _Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_rows_that_wait_are_kept_in_stretches_and_tracks_come_out_in_parts(monkeypatch):
+    monkeypatch.setattr(tracker, "ROWS", 50)
+    n = 4000
+    f = np.random.default_rng(0).permutation(n)
+    rows = pd.DataFrame({"video": 1, "ts": pd.to_datetime(f, unit="s"), "frame": f, "x1": f % 3 * 1.0, "y1": 0.0, "x2": f % 3 + 40.0, "y2": 90.0, "score": 0.9, "object_class": "p"})
+    store = _Store()
+    processor = streamed.OnlineTracker("video", "ts", tracker.Settings(), 10_000)
+    processor.init(store)
+    batches = iter([rows[a : a + 500] for a in range(0, n, 500)])
+    assert not list(processor.handleInputRows((1,), batches, _Watermark(-1)))
+    some = list(processor.handleExpiredTimer((1,), _Watermark(1_000_003), None))
+    rest = list(processor.handleExpiredTimer((1,), _Watermark(10**10), None))
+    assert store.largest < 40_000  # all rows at once take ten times that
+    assert min(len(some), len(rest)) > 5 and max(map(len, some + rest)) < 100
+    want = tracker.advance(tracker.Tracks(), rows, tracker.Settings())
+    assert [r[1:] for part in some + rest for r in part.itertuples(index=False, name=None)] == want
+    assert pd.concat(some)["frame"].max() == 1000 and not store.values.get("tracks") and not store.values["waiting"]
