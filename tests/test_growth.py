@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import association, ball, detection, joins, motion, neighbours, tracker, tracklets
+from touchline.operators import association, ball, detection, joins, motion, neighbours, scoring, tracker, tracklets
 from touchline.streaming import tracking as streamed
 
 
@@ -257,3 +257,20 @@ def test_rows_that_wait_are_kept_in_stretches_and_tracks_come_out_in_parts(monke
     want = tracker.advance(tracker.Tracks(), rows, tracker.Settings())
     assert [r[1:] for part in some + rest for r in part.itertuples(index=False, name=None)] == want
     assert pd.concat(some)["frame"].max() == 1000 and not store.values.get("tracks") and not store.values["waiting"]
+
+
+@pytest.mark.parametrize("steps", [3, 1000])
+def test_a_frame_of_few_pairs_is_assigned_as_by_arrays(monkeypatch, steps):
+    rng = np.random.default_rng(steps)
+    cases = []
+    for _ in range(400):
+        n, m = rng.integers(1, 6, 2)
+        g, p = np.nonzero(rng.random((n, m)) < 0.7)
+        cases.append((g, p, rng.integers(1, steps + 1, len(g)) / steps))
+    few = [scoring.best_pairs(*c) for c in cases]
+    monkeypatch.setattr(joins, "assign", None)
+    monkeypatch.setattr(scoring, "assign", None)  # no arrays for such frames
+    assert [scoring.best_pairs(*c) for c in cases] == few
+    monkeypatch.undo()
+    monkeypatch.setattr(scoring, "FEW", 0)
+    assert [sorted(scoring.best_pairs(*c)) if len(c[0]) else [] for c in cases if len(c[0])] == [sorted(f) for f in few if f]
