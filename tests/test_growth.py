@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import association, ball, detection, joins, motion, neighbours, scoring, tracker, tracklets
+from touchline.operators import association, ball, detection, joins, match_events, motion, neighbours, scoring, tracker, tracklets
 from touchline.streaming import tracking as streamed
 
 
@@ -274,3 +274,23 @@ def test_a_frame_of_few_pairs_is_assigned_as_by_arrays(monkeypatch, steps):
     monkeypatch.undo()
     monkeypatch.setattr(scoring, "FEW", 0)
     assert [sorted(scoring.best_pairs(*c)) if len(c[0]) else [] for c in cases if len(c[0])] == [sorted(f) for f in few if f]
+
+
+def test_restarts_of_a_long_video_are_found_in_one_pass(spark):
+    rng = np.random.default_rng(6)
+    n = 3000
+    states = rng.choice(["out_of_play", "unknown", "controlled", "loose_ball"], n, p=[0.3, 0.4, 0.1, 0.2])
+    states[-500:] = "out_of_play"  # nobody takes the ball up again
+    tracks = [int(i % 7) if s == "controlled" and i % 5 else None for i, s in enumerate(states)]
+    rows = [("v", i, str(s), "A" if k is not None else None, k, i * 10, i * 10 + 9, i * 0.4, i * 0.4 + 0.36, 0.36, 0.5, 1.0, 2.0, 3.0, 4.0) for i, (s, k) in enumerate(zip(states, tracks, strict=True))]
+    schema = "video string, span long, state string, team_id string, track_id long, start_frame long, end_frame long, start_t double, end_t double, duration double, confidence double, start_x double, start_y double, end_x double, end_y double"
+    found = match_events.dead_and_contested(spark.createDataFrame(rows, schema).repartition(3))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()  # such a frame is read anew for each row
+    want, ahead = [], None
+    for i in range(n - 1, -1, -1):
+        if states[i] == "out_of_play" and ahead is not None:
+            want.append((ahead * 10, tracks[ahead]))
+        if tracks[i] is not None:
+            ahead = i
+    got = [(r.frame_idx, r.track_id) for r in found.where("event_type = 'restart'").collect()]
+    assert sorted(got) == sorted(want) and found.where("event_type = 'ball_out'").count() == (states == "out_of_play").sum()

@@ -150,9 +150,10 @@ def pass_and_turnover(spans: DataFrame, ball: DataFrame, directions: DataFrame,
 def dead_and_contested(spans: DataFrame) -> DataFrame:
     """Balls out with the restart at the next controlled span, loose balls of 0.4 s and contests of 0.3 s."""
     c = F.col
-    w = Window.partitionBy("video").orderBy("span").rowsBetween(1, Window.unboundedFollowing)
+    # Read backwards: a frame that grows with the rows is one pass, one that shrinks is read anew for each row.
+    w = Window.partitionBy("video").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     held = F.when((c("state") == "controlled") & c("track_id").isNotNull(), F.struct("start_frame", "team_id", "track_id", "confidence"))
-    rows = spans.withColumn("next", F.first(held, ignorenulls=True).over(w))
+    rows = spans.withColumn("next", F.last(held, ignorenulls=True).over(w))
     own = {x: c(x) for x in ("video", "team_id", "track_id")} | {"frame_idx": c("start_frame")}
     out = _emit(rows.where("state = 'out_of_play'"), [(F.lit(True), "ball_out", c("confidence"))], start_x=c("start_x"), start_y=c("start_y"), **own)
     back = _emit(
