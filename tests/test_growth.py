@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import association, ball, detection, joins, match_events, motion, neighbours, scoring, tracker, tracklets
+from touchline.operators import association, ball, detection, game_state, joins, match_events, motion, neighbours, scoring, tracker, tracklets
 from touchline.streaming import tracking as streamed
 
 
@@ -294,3 +294,24 @@ def test_restarts_of_a_long_video_are_found_in_one_pass(spark):
             ahead = i
     got = [(r.frame_idx, r.track_id) for r in found.where("event_type = 'restart'").collect()]
     assert sorted(got) == sorted(want) and found.where("event_type = 'ball_out'").count() == (states == "out_of_play").sum()
+
+
+def test_frames_never_pass_through_the_driver_however_small_their_files(spark, tmp_path):
+    def stored(name, schema):
+        path = str(tmp_path / name)
+        spark.createDataFrame([], schema).write.parquet(path)
+        return spark.read.parquet(path)
+
+    key = "video_id string, frame_idx long"
+    people = stored("people", key + ", track_id long, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, det_confidence double, track_confidence double, interpolated boolean")
+    labels = stored("labels", "video_id string, track_id long, object_class string, team_id string, team_confidence double, role string, jersey_number int, jersey_confidence double")
+    ball_rows = stored("ball", key + ", x double, y double, confidence double, method string")
+    solves = stored("solves", key + ", homography array<double>, valid boolean, confidence double, segment_kind string, smoothed boolean")
+    frames = stored("frames", key + ", timestamp_s double")
+    state = game_state.assemble(people, labels, ball_rows, solves, frames)
+    table = game_state.frame_table(frames, state, solves)
+    spans = game_state.possession_spans(game_state.possession_by_frame(state, table))
+    windows = spans.selectExpr("video", "start_frame as from_frame", "end_frame as to_frame")
+    seen = game_state.ball_by_frame(state, table).selectExpr("video_id as video", "frame_idx", "ball_state as state")
+    for df in (state, table, spans, match_events.coverage(windows, seen), game_state.physical_profiles(state)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import expr
 from touchline.operators import motion, possession, sequence
 from touchline.operators.ordered import around
-from touchline.operators.staging import materialise
+from touchline.operators.staging import materialise, shuffled
 
 #: Metres around the pitch beyond which a projection is broken, and the extrapolation beyond which a row says so. Fixed values.
 FAR, MAX_RISK, MIN_CALIBRATION = 60.0, 0.35, 0.5
@@ -44,7 +44,7 @@ def assemble(observations: DataFrame, labels: DataFrame, ball: DataFrame, calibr
     """
     c = F.col
     key = ["video_id", "frame_idx"]
-    person = observations.join(labels, ["video_id", "track_id"], "left").select(
+    person = observations.join(shuffled(labels), ["video_id", "track_id"], "left").select(
         *key, F.coalesce("object_class", F.lit("player")).alias("object_class"), "track_id", F.coalesce("team_id", F.lit("unknown")).alias("team_id"), F.coalesce("role", F.lit("unknown")).alias("role"),
         "jersey_number", F.coalesce("jersey_confidence", F.lit(0.0)).alias("jersey_confidence"), *(f"bbox_{s}" for s in ("x1", "y1", "x2", "y2")), ((c("bbox_x1") + c("bbox_x2")) / 2).alias("image_x"), c("bbox_y2").alias("image_y"),
         c("det_confidence").alias("detection_confidence"), c("track_confidence").alias("tracking_confidence"), F.coalesce("team_confidence", F.lit(0.0)).alias("team_confidence"), "interpolated", F.lit("tracker").alias("source"),
@@ -58,8 +58,8 @@ def assemble(observations: DataFrame, labels: DataFrame, ball: DataFrame, calibr
         (c("method") != "observed").alias("interpolated"), F.lit("ball_trajectory").alias("source"),
     )
     solve = calibration.select(*key, "homography", "valid", c("confidence").alias("__sure"), "segment_kind")
-    rows = frames.select(*key, "timestamp_s").join(person.unionByName(ball_rows), key).join(solve, key, "left")
-    rows = rows.join(regions, key, "left") if regions is not None else rows.withColumn("region", nothing("struct<x1:double,y1:double,x2:double,y2:double>"))
+    rows = shuffled(frames.select(*key, "timestamp_s")).join(person.unionByName(ball_rows), key).join(shuffled(solve), key, "left")
+    rows = rows.join(shuffled(regions), key, "left") if regions is not None else rows.withColumn("region", nothing("struct<x1:double,y1:double,x2:double,y2:double>"))
     solved = F.coalesce(c("valid"), F.lit(False)) & c("homography").isNotNull()
     px, py = expr.project([c("homography")[i] for i in range(9)], c("image_x").cast("double"), c("image_y").cast("double"))
     rows = rows.withColumn("__x", F.when(solved, px)).withColumn("__y", F.when(solved, py))
@@ -86,7 +86,7 @@ def frame_table(frames: DataFrame, state: DataFrame, calibration: DataFrame) ->
     is_ball = F.col("object_class") == "ball"
     counts = state.groupBy(*key).agg(F.count_if(~is_ball).alias("n_persons"), F.count_if(is_ball).alias("n_ball_rows"), F.bool_or(is_ball & ~F.col("interpolated")).alias("ball_observed"))
     solve = calibration.select(*key, F.col("confidence").alias("calibration_confidence"), F.col("valid").alias("calibration_valid"), F.col("smoothed").alias("calibration_propagated"), "segment_kind")
-    rows = frames.join(counts, key, "left").join(solve, key, "left").na.fill(0, ["n_persons", "n_ball_rows"]).na.fill(0.0, ["calibration_confidence"])
+    rows = frames.join(shuffled(counts), key, "left").join(shuffled(solve), key, "left").na.fill(0, ["n_persons", "n_ball_rows"]).na.fill(0.0, ["calibration_confidence"])
     rows = rows.na.fill(False, ["ball_observed", "calibration_valid", "calibration_propagated"]).na.fill("unknown", ["segment_kind"])
     chunk = F.col("chunk_index") if "chunk_index" in frames.columns else F.lit(None)
     names = ("n_persons", "n_ball_rows", "ball_observed", "calibration_confidence", "calibration_valid", "calibration_propagated", "segment_kind")
@@ -110,7 +110,7 @@ def ball_by_frame(state: DataFrame, frames: DataFrame) -> DataFrame:
     """
     key = ["video_id", "frame_idx"]
     ball = state.where("object_class = 'ball'").groupBy(*key).agg(F.max_by(F.struct("pitch_x", "pitch_y", "image_x", "image_y", "interpolated", "tracking_confidence"), F.struct("tracking_confidence", "image_x", "image_y")).alias("b"))
-    rows = frames.select(*key, "timestamp_s").join(ball, key, "left")
+    rows = frames.select(*key, "timestamp_s").join(shuffled(ball), key, "left")
     d = lambda c: F.col(f"b.{c}").cast("double")
     placed = F.col("b.pitch_x").isNotNull() & F.col("b.pitch_y").isNotNull()
     kind = F.when(~F.coalesce(placed, F.lit(False)), "unknown").when(F.col("b.interpolated"), "interpolated").otherwise("observed")
@@ -142,10 +142,10 @@ def ball_speeds(state: DataFrame, ball: DataFrame, longest: int = 3, noise: floa
     has = F.col("image_x").isNotNull() & F.col("image_y").isNotNull()
     numbered = sequence.number_runs(ball.withColumn("__has", has), ["video_id"], ["frame_idx"], (F.col("__has") != F.lag("__has").over(sequence._w(["video_id"], ["frame_idx"]))) | (F.col("frame_idx") - F.lag("frame_idx").over(sequence._w(["video_id"], ["frame_idx"])) > longest), "__run")
     runs = numbered.where("__has").groupBy("video_id", "__run").agg(F.count("*").alias("__n")).where("__n >= 3")
-    held = numbered.where("__has").join(runs, ["video_id", "__run"]).select(*key, "__run", "timestamp_s", "image_x", "image_y")
+    held = numbered.where("__has").join(shuffled(runs), ["video_id", "__run"]).select(*key, "__run", "timestamp_s", "image_x", "image_y")
     smooth = motion.smooth_tracks(held, ["video_id", "__run"], "timestamp_s", "image_x", "image_y", noise, acceleration)
     scale = people_heights(state).groupBy(*key).agg(F.median("height").alias("scale"))
-    return smooth.join(scale.where("scale > 0"), key).select(*key, (F.col("speed") / F.col("scale")).alias("speed"))
+    return smooth.join(shuffled(scale.where("scale > 0")), key).select(*key, (F.col("speed") / F.col("scale")).alias("speed"))
 
 
 def people_heights(state: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def possession_by_frame(state: DataFrame, frames: DataFrame, fps: float = 25.0,
     known places, within twice out_time, most lie outside the pitch.
     """
     key = ["video_id", "frame_idx"]
-    ball = materialise(ball_by_frame(state, frames).join(frames.select(*key, F.col("calibration_confidence").cast("double").alias("calibration")), key), "ball-frames")
+    ball = materialise(ball_by_frame(state, frames).join(shuffled(frames.select(*key, F.col("calibration_confidence").cast("double").alias("calibration"))), key), "ball-frames")
     need = max(1, int(out_time * fps))
     off = lambda m: ~(F.col("x").between(-m, length + m) & F.col("y").between(-m, width + m))
     wide = around(ball, ["video_id"], "frame_idx", F.when(F.col("ball_state") != "unknown", off(out_margin) & ~off(rules.implausible_margin)), 0, 2 * need - 1, "ahead")
@@ -172,7 +172,7 @@ def possession_by_frame(state: DataFrame, frames: DataFrame, fps: float = 25.0,
     sustained = F.coalesce((F.size(first) > 0) & (outside >= F.greatest(F.lit(1), F.floor(0.7 * F.size(first)))), F.lit(False))
     rows = wide.withColumn("sustained_out", sustained).withColumn("plausible", F.coalesce(~off(rules.implausible_margin), F.lit(False))).drop("ahead")
     two = possession.two_nearest(people_heights(state), rows.where("image_x is not null").select(*key, F.col("image_x").alias("x"), F.col("image_y").alias("y")), key)
-    rows = rows.join(two.drop("x", "y"), key, "left").join(ball_speeds(state, ball), key, "left")
+    rows = rows.join(shuffled(two.drop("x", "y")), key, "left").join(shuffled(ball_speeds(state, ball)), key, "left")
     rows = rows.withColumns({"previous_owner": F.lit(None).cast("long"), "held_for": F.lit(0.0)})
     decided = possession.decide(rows, rules).drop("previous_owner", "held_for")
     carried = sequence.owner_carry(decided, ["video_id"], ["frame_idx"], "state", "holder", "timestamp_s", "controlled", ("loose_ball", "out_of_play"))
@@ -244,5 +244,5 @@ def physical_profiles(state: DataFrame, gap: float = 0.5) -> DataFrame:
     steps = materialise(motion.intervals(smooth, segment, ["frame_idx"], "timestamp_s", "smooth_x", "smooth_y", "speed"), "intervals")
     whole = _people(state).groupBy(*track).agg(F.count("*").alias("n_rows"), F.count_if("usable").alias("n_usable"))
     span = smooth.groupBy(*segment).agg((F.max("timestamp_s") - F.min("timestamp_s")).alias("t")).groupBy(*track).agg(F.sum("t").alias("duration"))
-    tracks = whole.join(span, track, "left").na.fill(0.0, ["duration"])
+    tracks = whole.join(shuffled(span), track, "left").na.fill(0.0, ["duration"])
     return motion.profiles(tracks, steps, track, segment)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
+from touchline.operators.staging import shuffled
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ def coverage(windows: DataFrame, ball: DataFrame, first: str = "from_frame", las
     counted = ball.select("video", "frame_idx", known.alias("k"), observed.alias("o"), F.sum(known).over(w).alias("ks"), F.sum(observed).over(w).alias("os"), F.row_number().over(w).alias("n"))
     a = counted.select("video", F.col("frame_idx").alias(first), (F.col("ks") - F.col("k")).alias("k0"), (F.col("os") - F.col("o")).alias("o0"), (F.col("n") - 1).alias("n0"))
     b = counted.select("video", F.col("frame_idx").alias(last), "ks", "os", "n")
-    both = windows.join(a, ["video", first], "left").join(b, ["video", last], "left")
+    both = windows.join(shuffled(a), ["video", first], "left").join(shuffled(b), ["video", last], "left")
     n, k, o = F.col("n") - F.col("n0"), F.col("ks") - F.col("k0"), F.col("os") - F.col("o0")
     state = F.when(o * 2 > n, "observed").when(k > 0, "interpolated").otherwise("unknown")
     return both.select(*windows.columns, F.when(n > 0, k / n).otherwise(0.0).alias("coverage"), state.alias("ball_state"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.staging import shuffled
+
 #: Limits and zones of running speed in metres a second; fixed values.
 MAX_SPEED, MAX_ACCELERATION, EFFORT = 12.0, 8.0, 2.0
 SPRINT_SPEED, SPRINT_TIME = 7.0, 0.7
@@ -128,7 +130,7 @@ def profiles(tracks: DataFrame, steps: DataFrame, by: list[str], segment: list[s
         F.count_if(F.col("acceleration") > EFFORT).alias("n_accelerations"), F.count_if(F.col("acceleration") < -EFFORT).alias("n_decelerations"),
         F.count_if("rejected").alias("n_rejected"),
     )
-    whole = tracks.join(found, by, "left").join(sprints(steps, by, segment), by, "left")
+    whole = tracks.join(shuffled(found), by, "left").join(shuffled(sprints(steps, by, segment)), by, "left")
     names = [c for c in whole.columns if c not in tracks.columns]
     coverage = F.when(F.col("n_rows") > 0, F.col("n_usable") / F.col("n_rows")).otherwise(0.0)
     trust: Column = F.greatest(F.lit(0.0), F.least(F.lit(1.0), coverage * F.least(F.lit(1.0), F.col("duration") / 5.0)))

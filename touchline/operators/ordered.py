@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.staging import materialise
+from touchline.operators.staging import materialise, shuffled
 
 
 def running_sums(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -91,4 +91,4 @@ def around(rows: DataFrame, by: list[str], position: str, payload: Column, befor
     sent = rows.select(*by, F.col(position).alias("__from"), payload.alias("item")).where(F.col("item").isNotNull())
     sent = sent.withColumn("d", F.explode(F.sequence(F.lit(-before), F.lit(after)))).select(*by, (F.col("__from") - F.col("d")).alias(position), "d", "item")
     lists = sent.groupBy(*by, position).agg(F.array_sort(F.collect_list(F.struct("d", "item"))).alias(name))
-    return rows.join(lists, [*by, position], "left").select(*rows.columns, name)
+    return rows.join(shuffled(lists), [*by, position], "left").select(*rows.columns, name)

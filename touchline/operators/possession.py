@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
+from touchline.operators.staging import shuffled
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ def two_nearest(people: DataFrame, ball: DataFrame, by: list[str]) -> DataFrame:
     The two least of a frame are ranked by a window over its people, which are few.
     """
     usable = people.where("track_id is not null and height > 1").select(*by, "track_id", "team_id", "height", F.col("x").alias("__x"), F.col("y").alias("__y"))
-    pairs = ball.join(usable, by).withColumn("d", F.hypot(F.col("__x") - F.col("x"), F.col("__y") - F.col("y")) / F.col("height"))
+    pairs = ball.join(shuffled(usable), by).withColumn("d", F.hypot(F.col("__x") - F.col("x"), F.col("__y") - F.col("y")) / F.col("height"))
     w = Window.partitionBy(*by).orderBy("d", "track_id")
     ranked = pairs.withColumn("__r", F.row_number().over(w)).where("__r <= 2")
     pick = lambda c, n: F.max(F.when(F.col("__r") == n, F.col(c)))
@@ -38,7 +39,7 @@ def two_nearest(people: DataFrame, ball: DataFrame, by: list[str]) -> DataFrame:
         pick("track_id", 1).alias("track_id"), pick("team_id", 1).alias("team_id"), pick("d", 1).alias("nearest"),
         pick("team_id", 2).alias("contest_team"), pick("d", 2).alias("contest"),
     )
-    return ball.join(two, by, "left")
+    return ball.join(shuffled(two), by, "left")
 
 
 def control_confidence(nearest: Column, contest: Column, speed: Column, interpolated: Column, previous: Column, held: Column, rules: Rules = Rules()) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
+from touchline.operators.staging import shuffled
 
 TRACK = ["video_id", "track_id"]
 #: Metric and the event type it counts, of the track itself; and of the track an event is related to. Fixed values.
@@ -41,12 +42,12 @@ def track_coverage(state: DataFrame, ball: DataFrame, physical: DataFrame, label
     people = state.where("object_class <> 'ball' and track_id is not null").select(*key, "track_id", "timestamp_s", "pitch_x", "pitch_y", "validation_status")
     known = ball.select(*key, (F.col("ball_state") != "unknown").alias("known"))
     usable = F.col("validation_status") == "valid"
-    t = people.join(known, key, "left").groupBy(*TRACK).agg(
+    t = people.join(shuffled(known), key, "left").groupBy(*TRACK).agg(
         F.count("*").alias("n_rows"), F.min("timestamp_s").alias("first_s"), F.max("timestamp_s").alias("last_s"), F.avg(F.coalesce("known", F.lit(False)).cast("double")).alias("ball"),
         F.avg(F.when(usable, F.col("pitch_x"))).alias("mean_x"), F.avg(F.when(usable, F.col("pitch_y"))).alias("mean_y"),
     )
     frames = ball.groupBy("video_id").agg(F.count("*").alias("n_frames"))
-    t = t.join(frames, "video_id").join(physical.select(*TRACK, F.col("coverage").alias("pitch")), TRACK, "left").join(labels.select(*TRACK, F.col("team_confidence").alias("identity")), TRACK, "left")
+    t = t.join(frames, "video_id").join(shuffled(physical.select(*TRACK, F.col("coverage").alias("pitch"))), TRACK, "left").join(shuffled(labels.select(*TRACK, F.col("team_confidence").alias("identity"))), TRACK, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return t.select(*TRACK, "n_rows", "first_s", "last_s", (F.col("n_rows") / F.col("n_frames")).alias("tracking"), zero("pitch"), "ball", zero("identity"), "mean_x", "mean_y")
 
@@ -63,9 +64,9 @@ def player_metrics(coverage: DataFrame, physical: DataFrame, events: DataFrame,
     other = e.where("related_track_id is not null").select("video_id", F.col("related_track_id").alias("track_id"), "event_type").groupBy(*TRACK)
     other = other.agg(*(F.count_if(F.col("event_type") == t).alias(n) for n, t in RELATED.items()), F.count("*").alias("__related"))
     held = spans.withColumnRenamed("video", "video_id").where("state = 'controlled' and track_id is not null").groupBy(*TRACK).agg(F.sum("duration").alias("__held"))
-    rows = coverage.join(physical.drop("coverage", "n_rows", "duration"), TRACK, "left")
+    rows = coverage.join(shuffled(physical.drop("coverage", "n_rows", "duration")), TRACK, "left")
     for part in (own, other, held):
-        rows = rows.join(part, TRACK, "left")
+        rows = rows.join(shuffled(part), TRACK, "left")
     rows = rows.na.fill(0, [*COUNTS, *RELATED, "__own", "__related"]).na.fill(0.0, ["__held"])
     c = F.col
     n = c("__own") + c("__related")
@@ -99,11 +100,11 @@ def keeper_metrics(players: DataFrame, labels: DataFrame, events: DataFrame) ->
     own = e.groupBy(*TRACK).agg(
         F.count_if(given).alias("distributions"), F.count_if(F.col("event_type") == "pass_successful").alias("distributions_completed"), F.count_if(given & (F.coalesce("distance", F.lit(0.0)) >= 25)).alias("long_distributions")
     )
-    rows = keepers.join(shots, ["video_id", "team_id"], "left").join(own, TRACK, "left").na.fill(0)
+    rows = keepers.join(shots, ["video_id", "team_id"], "left").join(shuffled(own), TRACK, "left").na.fill(0)
     names = ("shots_faced", "goal_candidates_conceded", "distributions", "distributions_completed", "long_distributions")
     cell = lambda name, value: F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
     made = F.array(*(cell(n, F.col(n)) for n in names), cell("save_candidates", F.col("shots_faced")), cell("distribution_accuracy_pct", 100 * expr.ratio(F.col("distributions_completed"), F.col("distributions"))))
-    kept = players.where(F.col("metric").isin("recoveries", "clearances", "distance_m")).select(*TRACK, "metric", "value").join(keepers.select(*TRACK), TRACK, "left_semi")
+    kept = players.where(F.col("metric").isin("recoveries", "clearances", "distance_m")).select(*TRACK, "metric", "value").join(shuffled(keepers.select(*TRACK)), TRACK, "left_semi")
     return rows.select(*TRACK, F.inline(made)).unionByName(kept)
 
 
