@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import expr
-from touchline.operators import association, ball, detection, game_state, joins, match_events, motion, neighbours, scoring, tracker, tracklets
+from touchline.operators import association, ball, detection, game_state, graph, joins, match_events, motion, neighbours, scoring, tracker, tracklets
 from touchline.streaming import tracking as streamed
 
 
@@ -315,3 +315,35 @@ def test_frames_never_pass_through_the_driver_however_small_their_files(spark, t
     seen = game_state.ball_by_frame(state, table).selectExpr("video_id as video", "frame_idx", "ball_state as state")
     for df in (state, table, spans, match_events.coverage(windows, seen), game_state.physical_profiles(state)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("spread", [1, 3])
+def test_edges_are_folded_to_a_row_a_node(spark, monkeypatch, spread):
+    monkeypatch.setattr(graph, "FOLD", 20)
+    rng = np.random.default_rng(7)
+    edges = [(v, int(a) * 2, int(b) * 2 + 1) for v in "ab" for a, b in [*rng.integers(0, 80, (90, 2)), *((i, i + 1) for i in range(100, 160))]]
+    written = {}
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.setdefault(name, real(df, name)) if name == "stars" else real(df, name))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {(r.v, r.node): r.component for r in graph.components(spark.createDataFrame(edges, "v string, a long, b long").repartition(5), ["v"], spread=spread).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    label = {(v, n): n for v, *ends in edges for n in ends}
+    for _ in range(len(label)):
+        for v, a, b in edges:
+            label[v, a] = label[v, b] = min(label[v, a], label[v, b])
+    assert found == label
+    assert written["stars"].count() <= spread * len(label)
+
+
+def test_refused_pairs_of_a_round_are_not_written(spark, monkeypatch):
+    box = "video string, track_id long, object_class string, frame long, x1 double, y1 double, x2 double, y2 double, interpolated boolean"
+    rows = [("v", t, "player" if t < 20 else "referee", 4 * t + k, 50.0 * t, 0.0, 50.0 * t + 20, 60.0, False) for t in range(40) for k in range(2)]
+    written = []
+    real = association.materialise
+    monkeypatch.setattr(association, "materialise", lambda df, name: written.append((name, set(df.columns))) or real(df, name))
+    out = association.associate(spark.createDataFrame(rows, box), ["video"])
+    assert out.survivors.count() and {r.reason for r in out.refusals.collect()} >= {"class_mismatch", "image_distance_exceeded"}
+    assert not any("refused" in columns for _, columns in written)
