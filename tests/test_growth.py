@@ -347,3 +347,14 @@ def test_refused_pairs_of_a_round_are_not_written(spark, monkeypatch):
     out = association.associate(spark.createDataFrame(rows, box), ["video"])
     assert out.survivors.count() and {r.reason for r in out.refusals.collect()} >= {"class_mismatch", "image_distance_exceeded"}
     assert not any("refused" in columns for _, columns in written)
+
+
+def test_a_dense_list_is_matched_with_two_bits_a_pair():
+    rng = np.random.default_rng(8)
+    a, b = (np.sort(rng.integers(0, 40_000, 12_000)).astype(float) for _ in range(2))
+    tracemalloc.start()
+    found = joins.match_sorted(a, b, 4000.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape == (12_000, 2) and (np.diff(found, axis=0) > 0).all()
+    assert peak < 2400 * 2 * 8 * np.sqrt(12_000) / 2  # half of what a state of 64 bits a pair takes, window by window
