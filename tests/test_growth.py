@@ -358,3 +358,27 @@ def test_a_dense_list_is_matched_with_two_bits_a_pair():
     tracemalloc.stop()
     assert found.shape == (12_000, 2) and (np.diff(found, axis=0) > 0).all()
     assert peak < 2400 * 2 * 8 * np.sqrt(12_000) / 2  # half of what a state of 64 bits a pair takes, window by window
+
+
+def test_hits_of_all_thresholds_are_sorted_as_one_number(spark, monkeypatch):
+    types = []
+    real = detection.running_sums
+    monkeypatch.setattr(detection, "running_sums", lambda rows, *a: types.append(dict(rows.dtypes)["hits"]) or real(rows, *a))
+    box = "frame long, object_class string, id long, x1 double, y1 double, x2 double, y2 double"
+    truth = spark.createDataFrame([(0, "ball", g, 0.0, 0.0, 10.0, 10.0) for g in range(2)], box)
+    found = spark.createDataFrame([(0, "ball", p, 0.0, 0.0, 10.0, 10.0 - 3 * p, 0.5) for p in range(3)], box + ", score double")
+    r = detection.evaluate_detection(truth, found, ["frame"]).first()
+    # At 0.5 to 0.7 both true boxes are found by the first two ranks, from 0.75 on one is.
+    assert types == ["bigint"] and r.tp == 2 and r.ap50 == 1.0 and abs(r.ap50_95 - (5 * 1.0 + 5 * 51 / 101) / 10) < 1e-9
+
+
+def test_admitted_pairs_are_those_that_no_gate_refuses(spark):
+    box = "video string, track_id long, object_class string, frame long, x1 double, y1 double, x2 double, y2 double, interpolated boolean"
+    rows = [("v", t, "player" if t % 5 else "referee", 9 * t + k, 40.0 * (t % 7), 0.0, 40.0 * (t % 7) + 20, 60.0 + t % 3 * 30, False) for t in range(40) for k in range(2)]
+    looks = spark.createDataFrame([("v", t, [1.0, 0.0] if t % 3 else [0.0, 1.0]) for t in range(0, 40, 2)], "video string, track_id long, vector array<double>")
+    tracks = association.features(association.track_ends(spark.createDataFrame(rows, box), ["video"]), ["video"])
+    whole = association.pair_costs(tracks, ["video"], looks).collect()
+    some = association.pair_costs(tracks, ["video"], looks, admitted=True).collect()
+    assert sorted(some) == sorted(r for r in whole if r.refused is None) and len({r.refused for r in whole}) > 3 and some
+    gaps = {(a, b): 9 * b - 9 * a - 1 for a in range(40) for b in range(40) if 1 <= 9 * b - 9 * a - 1 <= 90}
+    assert {(r.earlier, r.later) for r in whole} == set(gaps) and len(whole) == len(gaps)
